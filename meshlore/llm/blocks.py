@@ -154,3 +154,32 @@ def windows(found: Words, coefficients: np.ndarray) -> tuple[np.ndarray, np.ndar
 def shingle_coefficients(k: int) -> np.ndarray:
     """Odd multipliers for ordered windows of ``k`` words."""
     return mix64(np.arange(1, k + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
+
+
+def shingles(found: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all ``k``-word shingles, and for each its text's index, in order.
+
+    A text of fewer than ``k`` words (and one at least) has one shingle, all its words.
+    """
+    hashed, at = windows(found, shingle_coefficients(k))
+    doc = np.searchsorted(found.first, at, side="right") - 1
+    n = np.diff(found.first)
+    short = np.flatnonzero((n > 0) & (n < k))
+    if len(short):
+        own = sequence_digests(found)[0][short]
+        order = np.argsort(np.concatenate([doc, short]), kind="stable")
+        return np.concatenate([hashed, own])[order], np.concatenate([doc, short])[order]
+    return hashed, doc
+
+
+def sequence_digests(found: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each text's sequence of words (0 for a text without words)."""
+    n = np.diff(found.first)
+    some = np.flatnonzero(n)
+    out = np.zeros((2, len(n)), dtype=np.uint64)
+    if len(some):
+        place = np.arange(len(found.hash)) - np.repeat(found.first[:-1], n)
+        power = _powers_to(int(n.max()))[place]
+        out[0, some] = mix64(np.add.reduceat(found.hash * power, found.first[some]))
+        out[1, some] = mix64(np.add.reduceat(mix64(found.hash ^ np.uint64(0x5851F42D4C957F2D)) * power, found.first[some]))
+    return out[0], out[1]

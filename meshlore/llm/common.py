@@ -80,3 +80,39 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     for r in sorted(rows, key=lambda r: r["doc_id"]):
         first.setdefault(r["text"], (r["doc_id"], r["text"], r["__y"]))
     return list(first.values())
+
+
+#: Bitmaps of 32,768 bits that stand for a set of keys: 4 MB in all, whatever the set.
+BITMAPS = 1024
+
+
+def _slot(key: Column) -> tuple[Column, Column]:
+    place = F.pmod(F.xxhash64(key), F.lit(BITMAPS * 32768))
+    return F.shiftright(place, 15).cast("int"), place.bitwiseAND(32767).cast("int")
+
+
+def bitmaps(keys: DataFrame, key: str) -> DataFrame:
+    """(bucket, bits) of fixed size that stand for the keys, with false members but no missing ones."""
+    bucket, bit = _slot(F.col(key))
+    return durable(keys.select(bucket.alias("__bucket"), bit.cast("long").alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits")))
+
+
+def in_bitmaps(rows: DataFrame, key: str, maps: DataFrame) -> DataFrame:
+    """``rows`` with the boolean ``__in``; the bitmaps are broadcast, ``BITMAPS`` rows at most."""
+    bucket, bit = _slot(F.col(key))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.shiftright("__bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return (
+        rows.withColumns({"__bucket": bucket, "__bit": bit})
+        .join(F.broadcast(maps), "__bucket", "left")
+        .withColumn("__in", F.coalesce(F.getbit(byte, F.col("__bit").bitwiseAND(7)), F.lit(0)) == 1)
+        .drop("__bucket", "__bit", "__bits")
+    )
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it from there."""
+    import uuid
+
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
