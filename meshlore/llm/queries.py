@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, exact_dedup, similarity, toxicity
+from . import bpe, common, decontaminate, exact_dedup, quality, similarity, toxicity, training_order
 from .common import table
 
 
@@ -18,11 +19,27 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fitted(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", (common.crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record of the shards that it writes, read back from them."""
+    tokens = training_order.token_table(table(spark, sf_dir, "documents").select("text"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    path = f"{common.checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
+    plan = training_order.write(tokens, path)
+    return training_order.records(spark, path, plan).select("shard", "slot", "byte_offset", (F.length("ids") / 2).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("full_hash")).alias("text_sha256"))
@@ -69,7 +86,9 @@ FROM d
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
+    "op6_training_order": op6_training_order,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
