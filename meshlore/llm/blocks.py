@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once by one worker (a longer text is a slice alone).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 #: The white space of the contracts: space and the bytes 0x09 to 0x0D.
 WHITE = np.zeros(256, dtype=bool)

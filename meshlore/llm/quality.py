@@ -157,14 +157,14 @@ def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     return fit(common.labelled_sample(docs, labels, "quality", bound), 0.5 if share is None else float(share))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``, the probability of label 1."""
-    schema = T.StructType([f for f in docs.schema.fields if f.name != "score"] + [T.StructField("score", T.DoubleType())])
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``score``, the probability of label 1."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c != "score"]
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BUCKET_BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [c for c in batch.schema.names if c != "score"]
             for block in blocks(batch.column(text_col)):
                 part = batch.slice(block.first, len(block))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(shared.value.scores(block))], kept + ["score"])

@@ -22,7 +22,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fitted(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).select(
+    return quality.score(docs, model, keep=["doc_id"]).select(
         "doc_id", (common.crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
 
@@ -48,7 +48,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, lexicon).select(
+    return toxicity.score(docs, lexicon, keep=["doc_id"]).select(
         "doc_id",
         (common.crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"),
         "score",

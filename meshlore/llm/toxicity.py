@@ -265,18 +265,18 @@ def fit(sample: list[tuple[int, str, int]]) -> Lexicon:
     return lexicon
 
 
-def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``terms`` (term to occurrences)."""
+def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``score`` (0 to 1) and ``terms`` (term to occurrences)."""
     fields = [T.StructField("score", T.DoubleType()), T.StructField("terms", T.MapType(T.StringType(), T.IntegerType()))]
     names = {f.name for f in fields}
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in names] + fields)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    schema = T.StructType([docs.schema[c] for c in kept] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(text_col)):
                 part = batch.slice(block.first, len(block))
                 found = [lexicon.amount(fold(t)) if t else (0.0, {}) for t in part.column(text_col).to_pylist()]
-                kept = [c for c in part.schema.names if c not in names]
                 added = [pa.array([lexicon.score(a) for a, _ in found], pa.float64()), pa.array([list(m.items()) for _, m in found], pa.map_(pa.string(), pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + added, kept + ["score", "terms"])
 
