@@ -34,7 +34,7 @@ from . import common
 from .blocks import blocks, mix64
 
 LENGTH = 2048
-PER_SHARD = 8192
+PER_SHARD = 4096
 KEY = 20240229
 END_ID = 50256
 ROUNDS = 4
@@ -217,10 +217,14 @@ def records(spark: SparkSession, path: str, plan: Plan) -> DataFrame:
     """(shard, slot, byte_offset, ids) of every record, read back from the shards."""
     if not plan.tokens:
         return spark.createDataFrame([], "shard int, slot bigint, byte_offset bigint, ids binary")
-    stride = plan.stride
-    cut = F.transform(
-        F.sequence(F.lit(0), (F.col("length") / stride).cast("int") - 1),
-        lambda j: F.struct(j.alias("j"), F.substring(F.col("content"), j * stride + 1, F.lit(stride - 1)).alias("ids")),
-    )
-    rows = files_of(spark, path).where("length > 0").select("shard", F.explode(cut).alias("r"))
-    return rows.select("shard", (F.col("shard").cast("long") * plan.per_shard + F.col("r.j")).alias("slot"), (F.col("r.j").cast("long") * stride).alias("byte_offset"), F.col("r.ids").alias("ids"))
+    stride, per_shard = plan.stride, plan.per_shard
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
+                view = memoryview(content.as_buffer())
+                at = np.arange(0, len(view), stride)
+                ids = pa.array([bytes(view[j : j + stride - 1]) for j in at.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(at), pa.int32()), pa.array(shard * per_shard + at // stride), pa.array(at), ids], ["shard", "slot", "byte_offset", "ids"])
+
+    return files_of(spark, path).where("length > 0").select("shard", "content").mapInArrow(cut, "shard int, slot bigint, byte_offset bigint, ids binary")
