@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, exact_dedup, language, quality, similarity, toxicity, training_order
+from . import bpe, common, decontaminate, exact_dedup, language, pitman_yor, quality, similarity, toxicity, training_order
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "pages").select("page_id", "url", "html"), model)
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fitted(docs, table(spark, sf_dir, "labels"))
@@ -92,6 +96,7 @@ FROM d
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_pitman_yor": op2_pitman_yor,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op6_training_order": op6_training_order,
