@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, exact_dedup, language, pitman_yor, quality, similarity, toxicity, training_order
+from . import bpe, common, decontaminate, exact_dedup, language, pitman_yor, quality, similarity, substring_dedup, toxicity, training_order
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_passages", "repeated_words", "kept_in")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fitted(docs, table(spark, sf_dir, "labels"))
@@ -97,6 +102,7 @@ FROM d
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pitman_yor": op2_pitman_yor,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op6_training_order": op6_training_order,
