@@ -12,6 +12,7 @@ even however often a key occurs in the corpus.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
+from . import common
 
 #: Entries that a bucket has about.
 BUCKET_ENTRIES = 256_000
@@ -64,7 +69,8 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]
     """Rows of a sorted stream, those of a key together."""
     held: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
             if held and held[0][key] != row[key]:
                 yield held
                 held = []
@@ -84,7 +90,8 @@ def ask(slices: DataFrame, question: Callable[[dict], Arrays], answer: Callable[
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
                 asked = question(row)
                 key = asked["key"]
                 if not len(key):
@@ -110,28 +117,35 @@ def ask(slices: DataFrame, question: Callable[[dict], Arrays], answer: Callable[
     return sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "slice").mapInArrow(reply, "slice bigint, bucket int, payload binary, totals array<double>")
 
 
-def visit(slices: DataFrame, state: str, answers: list[DataFrame], parts: int) -> DataFrame:
-    """Rows (slice, kind, bucket, payload) for ``visited``: a slice's state (kind 0), then each answer table's rows."""
-    rows = slices.select("slice", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.col(state).alias("payload"))
-    for k, table in enumerate(answers, 1):
-        rows = rows.unionAll(table.select("slice", F.lit(k).alias("kind"), "bucket", "payload"))
-    return rows.repartition(parts, "slice").sortWithinPartitions("slice", "kind", "bucket")
-
-
-def visited(batches: Iterator[pa.RecordBatch], kinds: int) -> Iterator[tuple[int, Arrays, list[Arrays]]]:
-    """(slice, state, answers by kind), each answer's arrays in the order of the slice's sorted keys."""
-    held: dict[int, list[Arrays]] = {}
-    now = None
-
-    def done() -> tuple[int, Arrays, list[Arrays]]:
-        return now, held[0][0], [{n: np.concatenate([a[n] for a in held[k]]) for n in held[k][0]} if k in held else {} for k in range(1, kinds + 1)]
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["slice"] != now:
-                if now is not None:
-                    yield done()
-                held, now = {}, row["slice"]
-            held.setdefault(row["kind"], []).append(unpack(row["payload"]))
-    if now is not None:
-        yield done()
+def stored(slices: DataFrame) -> DataFrame:
+    """``slices`` as a table in the shared folder, bucketed by slice: visits don't shuffle it."""
+    spark = slices.sparkSession
+    name = f"meshlore_slices_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices.write.format("parquet").option("path", f"{common.checkpoint_dir(spark)}/{name}").bucketBy(parts, "slice").saveAsTable(name)
+    return spark.table(name)
+
+
+def visit(slices: DataFrame, answers: list[DataFrame], visitor: Callable[[int, Arrays, list[Arrays]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``visitor`` makes of each slice, its state and its answers in the order of its sorted keys."""
+    rows = None
+    for k, table in enumerate(answers):
+        part = table.select("slice", F.lit(k).alias("kind"), "bucket", "payload")
+        rows = part if rows is None else rows.unionAll(part)
+    kinds = len(answers)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        kind, bucket = right.column("kind").to_numpy(), right.column("bucket").to_numpy()
+        order = np.lexsort((bucket, kind))
+        payloads = right.column("payload")
+        found: list[list[Arrays]] = [[] for _ in range(kinds)]
+        for i in order.tolist():
+            found[kind[i]].append(unpack(payloads[i].as_py()))
+        merged = [{n: np.concatenate([a[n] for a in part]) for n in part[0]} if part else {} for part in found]
+        out = []
+        for i in range(left.num_rows):
+            out += visitor(left.column("slice")[i].as_py(), unpack(left.column("state")[i].as_py()), merged)
+        return pa.Table.from_batches(out, empty) if out else empty.empty_table()
+
+    empty = to_arrow_schema(_parse_datatype_string(schema))
+    return slices.select("slice", "state").groupBy("slice").cogroup(rows.groupBy("slice")).applyInArrow(run, schema)

@@ -49,7 +49,7 @@ DISCOUNT, STRENGTH = 0.75, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.55, 10.0
 
 #: Bytes of text in a slice (a longer text is a slice alone).
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 END = np.uint64(0x2545F4914F6CDD1D)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -76,7 +76,11 @@ def corpus_slices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 token, length = np.concatenate(hashes), np.concatenate(lengths)
                 key, place = np.unique(token, return_inverse=True)
                 held = part.column("fold").to_numpy() == 0
-                state = {"key": key, "token": place.astype(np.uint32), "length": length.astype(np.uint32), "held": held.astype(np.uint8), "row": np.arange(len(length), dtype=np.uint32)}
+                # Numbered by frequency the tokens of a slice pack better.
+                by_count = np.argsort(-np.bincount(place), kind="stable")
+                rank = np.empty(len(key), dtype=np.uint32)
+                rank[by_count] = np.arange(len(key), dtype=np.uint32)
+                state = {"key": key, "by_count": by_count.astype(np.uint32), "rank": rank[place], "length": length.astype(np.uint32), "held": held.astype(np.uint8), "row": np.arange(len(length), dtype=np.uint32)}
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part.column("id").to_pylist()], pa.list_(batch.schema.field("id").type)), pa.array([exchange.pack(state)]), pa.array([len(token)]), pa.array([int(length[~held].sum())])], ["ids", "state", "tokens", "train_tokens"]
                 )
@@ -84,12 +88,17 @@ def corpus_slices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), common.crc_mod(F.col(id_col), FOLDS).cast("int").alias("fold"))
     kind = rows.schema["id"].dataType.simpleString()
     made = rows.mapInArrow(run, f"ids array<{kind}>, state binary, tokens bigint, train_tokens bigint")
-    return common.written(made.withColumn("slice", F.monotonically_increasing_id()))
+    return exchange.stored(made.withColumn("slice", F.monotonically_increasing_id()))
+
+
+def _tokens(state: exchange.Arrays) -> np.ndarray:
+    """For each token the index of its word among the slice's sorted keys."""
+    return state["by_count"][state["rank"]].astype(np.int64)
 
 
 def _pairs(state: exchange.Arrays) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys of a slice's word pairs, each token's index in them, and before, after, count in training."""
-    token = state["token"].astype(np.int64)
+    token = _tokens(state)
     before = np.empty_like(token)
     before[1:] = token[:-1]
     starts = np.cumsum(state["length"].astype(np.int64)) - state["length"]
@@ -126,11 +135,11 @@ def _ask_pairs(row: dict) -> exchange.Arrays:
     state = exchange.unpack(row["state"])
     pair, _, before, after, count = _pairs(state)
     train = np.repeat(state["held"] == 0, state["length"])
-    own = np.bincount(state["token"][train], minlength=len(state["key"]))
+    own = np.bincount(_tokens(state)[train], minlength=len(state["key"]))
     share = (own + 0.5) / (own.sum() + 0.5 * len(own))
     # Tables of the context by the slice's own counts: the rate of opening a table.
     rate = (STRENGTH + DISCOUNT * own[before]) * share[after]
-    return {"key": pair, "count": count.astype(np.uint32), "rate": np.clip(np.round(8 * np.log2(rate)), -127, 127).astype(np.int8)}
+    return {"key": pair, "count": count.astype(np.uint32), "rate": np.clip(np.round(2 * np.log2(rate)), -127, 127).astype(np.int8)}
 
 
 def _answer_pairs(keys: np.ndarray, entry: np.ndarray, asked: exchange.Arrays) -> tuple[exchange.Arrays, list[float]]:
@@ -143,25 +152,23 @@ def _answer_pairs(keys: np.ndarray, entry: np.ndarray, asked: exchange.Arrays) -
     owner[first] = 1
     out = {"count": count[entry].astype(np.uint32), "owner": owner}
     for s in range(SAMPLES):
-        out[f"t{s}"] = seat(count, 2.0 ** (rate / 8), DISCOUNT, rng)[entry].astype(np.uint32)
+        out[f"t{s}"] = seat(count, 2.0 ** (rate / 2), DISCOUNT, rng)[entry].astype(np.uint32)
     return out, []
 
 
-def _word_questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each slice the words' counts, and the tables that its own pairs have by context and by word."""
-    for number, state, (pairs,) in exchange.visited(batches, 1):
-        _, _, before, after, _ = _pairs(state)
-        n = len(state["key"])
-        train = np.repeat(state["held"] == 0, state["length"])
-        out = {"key": state["key"], "count": np.bincount(state["token"][train], minlength=n).astype(np.uint32)}
-        own = pairs["owner"] == 1
-        for s in range(SAMPLES):
-            tables = pairs[f"t{s}"][own].astype(np.float64)
-            out[f"context{s}"] = np.bincount(before[own], tables, minlength=n).astype(np.uint32)
-            out[f"word{s}"] = np.bincount(after[own], tables, minlength=n).astype(np.uint32)
-        # Customers of a context: the pairs' training counts, each pair once.
-        out["customers"] = np.bincount(before[own], pairs["count"][own].astype(np.float64), minlength=n).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([exchange.pack(out)], pa.binary())], ["slice", "state"])
+def _word_questions(number: int, state: exchange.Arrays, answers: list[exchange.Arrays]) -> Iterator[pa.RecordBatch]:
+    """A slice's word counts in training, and the tables of the pairs it answers for, by context and by word."""
+    pairs = answers[0]
+    _, _, before, after, _ = _pairs(state)
+    n = len(state["key"])
+    train = np.repeat(state["held"] == 0, state["length"])
+    out = {"key": state["key"], "count": np.bincount(_tokens(state)[train], minlength=n).astype(np.uint32)}
+    own = pairs["owner"] == 1
+    for s in range(SAMPLES):
+        tables = pairs[f"t{s}"][own].astype(np.float64)
+        out[f"context{s}"] = np.bincount(before[own], tables, minlength=n).astype(np.uint32)
+        out[f"word{s}"] = np.bincount(after[own], tables, minlength=n).astype(np.uint32)
+    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([exchange.pack(out)], pa.binary())], ["slice", "state"])
 
 
 def _answer_words(keys: np.ndarray, entry: np.ndarray, asked: exchange.Arrays) -> tuple[exchange.Arrays, list[float]]:
@@ -186,43 +193,42 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     (log10 probabilities of the text) and perplexity (per token).
     """
     slices = corpus_slices(docs, id_col, text_col)
-    size = slices.agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("slices")).first()
-    parts = max(1, min(int(size["slices"]), 1 << 16))
+    size = slices.agg(F.sum("tokens").alias("tokens")).first()
     bits = exchange.buckets_for(int(size["tokens"] or 0))
     pairs = common.written(exchange.ask(slices.select("slice", "state"), _ask_pairs, _answer_pairs, bits))
-    asking = exchange.visit(slices, "state", [pairs], parts).mapInArrow(_word_questions, "slice bigint, state binary")
+    asking = exchange.visit(slices, [pairs], _word_questions, "slice bigint, state binary")
     known = common.written(exchange.ask(asking, lambda row: exchange.unpack(row["state"]), _answer_words, bits))
     sums = known.where("totals IS NOT NULL").agg(*[F.sum(F.col("totals")[k]).alias(f"s{k}") for k in range(2 + 2 * SAMPLES)]).first()
     total, distinct, *seating = [float(x or 0) for x in sums]
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, state, (pair, word) in exchange.visited(batches, 2):
-            _, of, before, after, _ = _pairs(state)
-            c = word["count"].astype(np.float64)
-            base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-            probability = np.zeros(len(before))
-            for s in range(SAMPLES):
-                customers, tables = seating[2 * s : 2 * s + 2]
-                own = np.maximum(word[f"word{s}"] - PARENT_DISCOUNT * word[f"parent{s}"], 0.0)
-                parent = (own + (PARENT_STRENGTH + PARENT_DISCOUNT * tables) / (distinct + 1)) / (PARENT_STRENGTH + customers)
-                at = STRENGTH + word["customers"].astype(np.float64)
-                rest = (STRENGTH + DISCOUNT * word[f"context{s}"]) / at
-                seen = np.maximum(pair["count"] - DISCOUNT * pair[f"t{s}"], 0.0)
-                probability += seen / at[before] + rest[before] * parent[after]
-            logs = np.log10(probability / SAMPLES)
-            token, length = state["token"].astype(np.int64), state["length"].astype(np.int64)
-            starts = np.cumsum(length) - length
-            columns = {
-                "row": pa.array(state["row"].astype(np.int64)),
-                "n_tokens": pa.array(length),
-                "n_known": pa.array(np.add.reduceat((c > 0)[token].astype(np.int64), starts)),
-                "base_score": pa.array(np.add.reduceat(base[token], starts)),
-                "score": pa.array(np.add.reduceat(logs[of], starts)),
-                "held_out": pa.array(state["held"] == 1),
-            }
-            yield pa.RecordBatch.from_arrays([pa.array([number] * len(length), pa.int64()), *columns.values()], ["slice", *columns])
-
-    scored = exchange.visit(slices, "state", [pairs, known], parts).mapInArrow(finish, "slice bigint, row bigint, n_tokens bigint, n_known bigint, base_score double, score double, held_out boolean")
+    def finish(number: int, state: exchange.Arrays, answers: list[exchange.Arrays]) -> Iterator[pa.RecordBatch]:
+        pair, word = answers
+        _, of, before, after, _ = _pairs(state)
+        c = word["count"].astype(np.float64)
+        base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
+        probability = np.zeros(len(before))
+        for s in range(SAMPLES):
+            customers, tables = seating[2 * s : 2 * s + 2]
+            own = np.maximum(word[f"word{s}"] - PARENT_DISCOUNT * word[f"parent{s}"], 0.0)
+            parent = (own + (PARENT_STRENGTH + PARENT_DISCOUNT * tables) / (distinct + 1)) / (PARENT_STRENGTH + customers)
+            at = STRENGTH + c  # a word is followed by one token each time: its customers are its count
+            rest = (STRENGTH + DISCOUNT * word[f"context{s}"]) / at
+            seen = np.maximum(pair["count"] - DISCOUNT * pair[f"t{s}"], 0.0)
+            probability += seen / at[before] + rest[before] * parent[after]
+        logs = np.log10(probability / SAMPLES)
+        token, length = _tokens(state), state["length"].astype(np.int64)
+        starts = np.cumsum(length) - length
+        columns = {
+            "row": pa.array(state["row"].astype(np.int64)),
+            "n_tokens": pa.array(length),
+            "n_known": pa.array(np.add.reduceat((c > 0)[token].astype(np.int64), starts)),
+            "base_score": pa.array(np.add.reduceat(base[token], starts)),
+            "score": pa.array(np.add.reduceat(logs[of], starts)),
+            "held_out": pa.array(state["held"] == 1),
+        }
+        yield pa.RecordBatch.from_arrays([pa.array([number] * len(length), pa.int64()), *columns.values()], ["slice", *columns])
+
+    scored = exchange.visit(slices, [pairs, known], finish, "slice bigint, row bigint, n_tokens bigint, n_known bigint, base_score double, score double, held_out boolean")
     ids = slices.select("slice", F.posexplode("ids").alias("row", "id"))
     return scored.join(ids.withColumn("row", F.col("row").cast("bigint")), ["slice", "row"]).select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")

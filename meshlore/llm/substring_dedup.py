@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, exchange
+from . import exchange
 from .blocks import WHITE, Block, _powers_to, blocks, mix64
 
 PASSAGE = 50
@@ -77,7 +77,7 @@ def chunks(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def corpus_slices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(slice, ids, state): the chunks of all texts, written to the shared folder."""
+    """(slice, state, chunks): the chunks of all texts, written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,10 +102,10 @@ def corpus_slices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 lowest = np.full(len(distinct), _NOBODY, dtype=np.int64)
                 np.minimum.at(lowest, place, numbers[of])
                 state = {"key": distinct, "lowest": lowest, "place": place.astype(np.uint32), "size": (np.concatenate(sizes) if sizes else of).astype(np.uint32), "words": (np.concatenate(begun) if begun else of).astype(np.uint32), "of": np.diff(of, prepend=0).astype(np.uint32), "id": numbers}
-                yield pa.RecordBatch.from_arrays([pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([exchange.pack(state)], pa.binary()), pa.array([len(key)])], ["ids", "state", "chunks"])
+                yield pa.RecordBatch.from_arrays([pa.array([exchange.pack(state)], pa.binary()), pa.array([len(key)])], ["state", "chunks"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return common.written(rows.mapInArrow(run, "ids array<bigint>, state binary, chunks bigint").withColumn("slice", F.monotonically_increasing_id()))
+    return exchange.stored(rows.mapInArrow(run, "state binary, chunks bigint").withColumn("slice", F.monotonically_increasing_id()))
 
 
 def _ask(row: dict) -> exchange.Arrays:
@@ -157,15 +157,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keep the passages, sorted) and spans (array of byte start and end).
     """
     slices = corpus_slices(docs, id_col, text_col)
-    size = slices.agg(F.sum("chunks").alias("chunks"), F.count(F.lit(1)).alias("slices")).first()
+    size = slices.agg(F.sum("chunks").alias("chunks")).first()
     keepers = exchange.ask(slices.select("slice", "state"), _ask, _answer, exchange.buckets_for(int(size["chunks"] or 0)))
-    parts = max(1, min(int(size["slices"]), 1 << 16))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, state, (answer,) in exchange.visited(batches, 1):
-            if not len(state["key"]):
-                continue
-            rows = list(_passages(state, answer["keeper"][state["place"]]))
+    def run(_: int, state: exchange.Arrays, answers: list[exchange.Arrays]) -> Iterator[pa.RecordBatch]:
+        if len(state["key"]):
+            rows = list(_passages(state, answers[0]["keeper"][state["place"]]))
             if rows:
                 ids = [None if state["id"][t] == _NOBODY else int(state["id"][t]) for t, *_ in rows]
                 spans = pa.array([[{"start": a, "end": b} for a, b in x] for _, x, _, _ in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
@@ -174,7 +171,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     [id_col, "n_passages", "repeated_words", "kept_in", "spans"],
                 )
 
-    return exchange.visit(slices, "state", [keepers], parts).mapInArrow(run, f"{id_col} bigint, n_passages bigint, repeated_words bigint, kept_in array<bigint>, spans array<struct<start:bigint,end:bigint>>")
+    return exchange.visit(slices, [keepers], run, f"{id_col} bigint, n_passages bigint, repeated_words bigint, kept_in array<bigint>, spans array<struct<start:bigint,end:bigint>>")
 
 
 def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str:
