@@ -28,10 +28,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import common
 from .blocks import blocks
 
-#: Entries of each half of a worker's word cache and pre-token cache (some 150 MB in all), and the longest string in them.
-CACHE = 250_000
+#: Entries of each half of a worker's word cache and pre-token cache (some 80 MB in all), and the longest string in them.
+CACHE = 130_000
 LONGEST = 64
 
 #: Pre-tokens of the byte-level tokenizer (fixed pattern of the tokenizer file's "ByteLevel" type).
@@ -305,7 +306,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
             for at, texts in _texts(batch, text_col):
                 yield _with(batch, at, len(texts), {ids_col: pa.array(own.encode_many(texts), pa.binary())})
 
-    return docs.mapInArrow(run, _added_columns(docs, [T.StructField(ids_col, T.BinaryType())]))
+    return docs.transform(common.arrow(run, _added_columns(docs, [T.StructField(ids_col, T.BinaryType())])))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -318,7 +319,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str =
                 ids = batch.column(ids_col).slice(at, 256).to_pylist()
                 yield _with(batch, at, len(ids), {text_col: pa.array([own.decode(x) for x in ids], pa.string())})
 
-    return encoded.mapInArrow(run, _added_columns(encoded, [T.StructField(text_col, T.StringType())]))
+    return encoded.transform(common.arrow(run, _added_columns(encoded, [T.StructField(text_col, T.StringType())])))
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
@@ -331,4 +332,4 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
                 ids = own.encode_many(texts)
                 yield _with(batch, at, len(texts), {ids_col: pa.array(ids, pa.binary()), decoded_col: pa.array([own.decode(x) for x in ids], pa.string())})
 
-    return docs.mapInArrow(run, _added_columns(docs, [T.StructField(ids_col, T.BinaryType()), T.StructField(decoded_col, T.StringType())]))
+    return docs.transform(common.arrow(run, _added_columns(docs, [T.StructField(ids_col, T.BinaryType()), T.StructField(decoded_col, T.StringType())])))

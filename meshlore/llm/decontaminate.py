@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
 from .blocks import Words, blocks, shingle_coefficients, windows, words
 
 #: The masks.  They tolerate a replaced word in every fifth, fourth and third place.
@@ -158,7 +159,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                         n = [int(own.first[x + 1] - own.first[x]) for x in i]
                         yield pa.RecordBatch.from_arrays([ids] + [pa.array(x, pa.int64()) for x in (items, start, compared, equal, n)], schema.names)
 
-        part = docs.select(id_col, text_col).mapInArrow(run, schema)
+        part = docs.select(id_col, text_col).transform(common.arrow(run, schema))
         out = part if out is None else out.unionAll(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -177,5 +178,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
                         keep[block.first + hit[0]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.transform(common.arrow(run, docs.schema))
     return docs

@@ -112,9 +112,9 @@ def ask(slices: DataFrame, question: Callable[[dict], Arrays], answer: Callable[
             first = [totals] + [None] * (len(rows) - 1)
             yield pa.RecordBatch.from_arrays([pa.array([r["slice"] for r in rows], pa.int64()), pa.array([r["bucket"] for r in rows], pa.int32()), pa.array(payloads, pa.binary()), pa.array(first, pa.list_(pa.float64()))], ["slice", "bucket", "payload", "totals"])
 
-    sent = slices.mapInArrow(send, "bucket int, slice bigint, payload binary")
+    sent = slices.transform(common.arrow(send, "bucket int, slice bigint, payload binary"))
     parts = max(1, 1 << bits)
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "slice").mapInArrow(reply, "slice bigint, bucket int, payload binary, totals array<double>")
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "slice").transform(common.arrow(reply, "slice bigint, bucket int, payload binary, totals array<double>"))
 
 
 def stored(slices: DataFrame) -> DataFrame:
@@ -145,6 +145,7 @@ def visit(slices: DataFrame, answers: list[DataFrame], visitor: Callable[[int, A
         out = []
         for i in range(left.num_rows):
             out += visitor(left.column("slice")[i].as_py(), unpack(left.column("state")[i].as_py()), merged)
+        common.release_memory()
         return pa.Table.from_batches(out, empty) if out else empty.empty_table()
 
     empty = to_arrow_schema(_parse_datatype_string(schema))

@@ -147,7 +147,7 @@ def evidence(pages: DataFrame, model: TextModel, id_col: str, url_col: str, html
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, host string, domain string, suffix string, declared string, n_grams bigint, likelihood array<double>")
+    return rows.transform(common.arrow(run, f"id {kind}, host string, domain string, suffix string, declared string, n_grams bigint, likelihood array<double>"))
 
 
 def _softmax(values: Column) -> Column:

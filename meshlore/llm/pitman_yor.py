@@ -87,7 +87,7 @@ def corpus_slices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), common.crc_mod(F.col(id_col), FOLDS).cast("int").alias("fold"))
     kind = rows.schema["id"].dataType.simpleString()
-    made = rows.mapInArrow(run, f"ids array<{kind}>, state binary, tokens bigint, train_tokens bigint")
+    made = rows.transform(common.arrow(run, f"ids array<{kind}>, state binary, tokens bigint, train_tokens bigint"))
     return exchange.stored(made.withColumn("slice", F.monotonically_increasing_id()))
 
 

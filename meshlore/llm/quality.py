@@ -169,4 +169,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
                 part = batch.slice(block.first, len(block))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(shared.value.scores(block))], kept + ["score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(common.arrow(run, schema))

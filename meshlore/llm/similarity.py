@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sigs = pa.array([raw[i : i + 2 * HASHES] for i in range(0, len(raw), 2 * HASHES)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*columns, sigs], ["id", "d1", "d2", "n", "sig"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, d1 bigint, d2 bigint, n bigint, sig binary")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).transform(common.arrow(run, "id bigint, d1 bigint, d2 bigint, n bigint, sig binary"))
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def _bands(reps: DataFrame) -> DataFrame:
                 ids = np.repeat(batch.column("id").to_numpy(), BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], ["key", "id"])
 
-    return reps.select("id", "sig").mapInArrow(run, "key bigint, id bigint")
+    return reps.select("id", "sig").transform(common.arrow(run, "key bigint, id bigint"))
 
 
 def _signature_matrix(column: pa.Array) -> np.ndarray:
@@ -223,7 +223,7 @@ def _shingle_sets(rows: DataFrame) -> DataFrame:
                 sets = [np.unique(hashed[cut[i] : cut[i + 1]]).astype("<u8").tobytes() for i in range(len(block))]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(block.first, len(block)), pa.array(sets, pa.binary())], ["id", "set"])
 
-    return rows.mapInArrow(run, "id bigint, set binary")
+    return rows.transform(common.arrow(run, "id bigint, set binary"))
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -324,7 +324,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     maps = common.bitmaps(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "key")
     members = common.written(common.in_bitmaps(keys, "key", maps).where("__in").select("key", "id", F.lit(1).alias("w")))
     dealt = _dealt(members, "key", "w", BUCKET_BLOCK).join(reps.select("id", "sig"), "id")
-    edges = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id").select("key", "bi", "bj", "side", "id", "sig").mapInArrow(_candidates, "a bigint, b bigint")
+    edges = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id").select("key", "bi", "bj", "side", "id", "sig").transform(common.arrow(_candidates, "a bigint, b bigint"))
     groups = common.durable(components(edges))
 
     weighted = groups.select(F.col("node").alias("id"), "component").join(reps.groupBy("id").agg(F.max("n").alias("n")), "id")
@@ -338,7 +338,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .repartition("component", "bi", "bj")
         .sortWithinPartitions("component", "bi", "bj", "id")
         .select("component", "bi", "bj", "side", "id", "set")
-        .mapInArrow(_verified, "a bigint, b bigint, links bigint")
+        .transform(common.arrow(_verified, "a bigint, b bigint, links bigint"))
     )
     links = checked.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("n_links"))
     linked = components(checked.where("b IS NOT NULL").select("a", "b"))

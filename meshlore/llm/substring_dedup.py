@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import exchange
+from . import common, exchange
 from .blocks import WHITE, Block, _powers_to, blocks, mix64
 
 PASSAGE = 50
@@ -105,7 +105,7 @@ def corpus_slices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([exchange.pack(state)], pa.binary()), pa.array([len(key)])], ["state", "chunks"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return exchange.stored(rows.mapInArrow(run, "state binary, chunks bigint").withColumn("slice", F.monotonically_increasing_id()))
+    return exchange.stored(rows.transform(common.arrow(run, "state binary, chunks bigint")).withColumn("slice", F.monotonically_increasing_id()))
 
 
 def _ask(row: dict) -> exchange.Arrays:

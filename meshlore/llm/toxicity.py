@@ -154,8 +154,8 @@ class Lexicon:
         return 1.0 / (1.0 + math.exp(-(self.bias + self.presence * (amount > 0) + self.density * math.log1p(amount))))
 
 
-def _beginnings(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list, np.ndarray]]:
-    """(length, term hash, context hash, where, text) of the words' beginnings; length 0: whole words."""
+def _beginnings(texts: list[str], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list, np.ndarray]]:
+    """(term hash, context hash, where, text) of the words' beginnings of that length; 0: whole words."""
     for block in blocks(pa.array(texts, pa.large_string())):
         found = words(block, lower=False)
         if not len(found.hash):
@@ -166,17 +166,16 @@ def _beginnings(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         context = mix64(before * np.uint64(3) + mix64(after))
         body = np.concatenate([block.data[found.start[0] : found.end[-1]]]).astype(np.uint64) + np.uint64(1)
         start = found.start - found.start[0]
-        for length in (0, *range(SHORTEST, LONGEST + 1)):
-            if length == 0:
-                at = np.flatnonzero(n >= 3)
-                term = mix64(found.hash[at])
-            else:
-                at = np.flatnonzero(n >= length)
-                term = np.full(len(at), length, dtype=np.uint64)
-                for k in range(length):
-                    term += body[start[at] + k] * _powers_to(256)[k]
-                term = mix64(term)
-            yield length, term, mix64(term + context[at]), [block, found, at], (block.first + found.doc()[at]).astype(np.uint64)
+        if length == 0:
+            at = np.flatnonzero(n >= 3)
+            term = mix64(found.hash[at])
+        else:
+            at = np.flatnonzero(n >= length)
+            term = np.full(len(at), length, dtype=np.uint64)
+            for k in range(length):
+                term += body[start[at] + k] * _powers_to(256)[k]
+            term = mix64(term)
+        yield term, mix64(term + context[at]), [block, found, at], (block.first + found.doc()[at]).astype(np.uint64)
 
 
 def _distinct(term: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -190,44 +189,42 @@ def _distinct(term: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def learn_terms(toxic: list[str], clean: list[str]) -> dict[str, float]:
     """Terms and weights from folded texts of both classes."""
-    seen: dict[int, list[np.ndarray]] = {}
-    example: dict[int, str] = {}
-    parts = list(_beginnings(toxic))
-    for length in {p[0] for p in parts}:
-        terms = np.concatenate([p[1] for p in parts if p[0] == length])
-        term, count, total = _distinct(terms, np.concatenate([p[2] for p in parts if p[0] == length]))
-        count = np.minimum(count, _distinct(terms, np.concatenate([p[4] for p in parts if p[0] == length]))[1])
-        often = count >= SUPPORT
-        seen[length] = [term[often], count[often], np.zeros(often.sum(), np.int64), np.array([total]), np.array([0])]
-    for length, term, _, (block, found, at), _ in parts:
-        want, place = np.unique(term, return_index=True)
-        for h, i in zip(want, at[place], strict=True) if length in seen else ():
-            k = np.searchsorted(seen[length][0], h)
-            if k < len(seen[length][0]) and seen[length][0][k] == h and int(h) not in example:
-                word = block.data[found.start[i] : found.end[i]].tobytes()
-                example[int(h)] = word.decode("utf-8", "ignore") if not length else word[:length].decode("utf-8", "ignore") + "*"
-    del parts
-    contexts: dict[int, list[np.ndarray]] = {length: [] for length in seen}
-    for length, term, context, _, _ in _beginnings(clean):
-        if length in seen:
-            own = np.isin(term, seen[length][0])
-            contexts[length].append(np.stack([term[own], context[own]], axis=1))
-            seen[length][4] += len(np.unique(context))
     passed: dict[str, tuple[int, float]] = {}
-    for length, (term, count, other, n1, n0) in seen.items():
-        if contexts[length]:
-            pair = np.unique(np.concatenate(contexts[length]), axis=0)
-            t, c = np.unique(pair[:, 0], return_counts=True)
-            other[np.searchsorted(term, t)] = c
-        share = max(1, n1[0]) / max(1, n1[0] + n0[0])
+    for length in (0, *range(SHORTEST, LONGEST + 1)):
+        parts = [(t, c, d) for t, c, _, d in _beginnings(toxic, length)]
+        if not parts:
+            continue
+        terms = np.concatenate([t for t, _, _ in parts])
+        term, count, n1 = _distinct(terms, np.concatenate([c for _, c, _ in parts]))
+        count = np.minimum(count, _distinct(terms, np.concatenate([d for _, _, d in parts]))[1])
+        del parts, terms
+        often = count >= SUPPORT
+        term, count = term[often], count[often]
+        n0, contexts = 0, [np.zeros((2, 0), np.uint64)]
+        for t, c, _, _ in _beginnings(clean, length):
+            own = np.isin(t, term)
+            contexts.append(np.stack([t[own], c[own]]))
+            n0 += len(np.unique(c))
+        other = np.zeros(len(term), dtype=np.int64)
+        t, c, _ = _distinct(*np.concatenate(contexts, axis=1))
+        other[np.searchsorted(term, t)] = c
+        share = max(1, n1) / max(1, n1 + n0)
         total = count + other
-        rate = (count + 0.5) / (other + 0.5) * max(1, n0[0]) / max(1, n1[0])
+        rate = (count + 0.5) / (other + 0.5) * max(1, n0) / max(1, n1)
         with np.errstate(divide="ignore", invalid="ignore"):
             statistic = 2 * (count * np.log(count / (total * share)) + np.where(other > 0, other * np.log(other / (total * (1 - share))), 0.0))
-        for h, c, r, g in zip(term, count, rate, statistic, strict=True):
-            name = example.get(int(h), "")
-            if r >= RATIO and g >= EVIDENCE and len(name.removesuffix("*")) >= 3:
-                passed[name] = (int(c), float(np.log(r)))
+        good = np.flatnonzero((rate >= RATIO) & (statistic >= EVIDENCE))
+        wanted = {int(term[i]): i for i in good.tolist()}
+        for t, _, (block, found, at), _ in _beginnings(toxic, length) if wanted else ():
+            for k in np.flatnonzero(np.isin(t, term[good])).tolist():
+                i = wanted.pop(int(t[k]), None)
+                if i is not None:
+                    word = block.data[found.start[at[k]] : found.end[at[k]]].tobytes()
+                    name = (word[:length] if length else word).decode("utf-8", "ignore")
+                    if len(name) >= 3:
+                        passed[name + "*" * (length > 0)] = (int(count[i]), float(np.log(rate[i])))
+            if not wanted:
+                break
     # Of nested terms with nearly the same support the longest says it best; of others the shortest.
     out: dict[str, float] = {}
     for name in sorted(passed, key=lambda t: (len(t.removesuffix("*")), t)):
@@ -237,7 +234,7 @@ def learn_terms(toxic: list[str], clean: list[str]) -> dict[str, float]:
         best = name
         if name.endswith("*"):
             for longer in sorted((t for t in passed if t.startswith(body) and t != name), key=lambda t: len(t) + 2 * (not t.endswith("*"))):
-                if passed[longer][0] >= 0.95 * passed[name][0]:
+                if passed[longer][0] >= 0.8 * passed[name][0]:
                     best = longer
         out[best] = min(10.0, max(1.0, passed[best][1]))
     return out
@@ -280,9 +277,11 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", keep: list[
                 added = [pa.array([lexicon.score(a) for a, _ in found], pa.float64()), pa.array([list(m.items()) for _, m in found], pa.map_(pa.string(), pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + added, kept + ["score", "terms"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(common.arrow(run, schema))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Lexicon:
     """A lexicon from the labelled training rows (``labels.toxic``)."""
-    return fit(common.labelled_sample(docs, labels, "toxic", bound))
+    lexicon = fit(common.labelled_sample(docs, labels, "toxic", bound))
+    common.release_memory()
+    return lexicon

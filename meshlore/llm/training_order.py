@@ -114,7 +114,7 @@ def token_table(docs: DataFrame, path: str, text_col: str = "text", end_id: int
                 yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([start]), pa.array([len(ids)]), pa.array([pack(np.array(ids, dtype="<u2").tobytes())])], ["row", "start", "n", "ids"])
                 row, start = row + 1, start + len(ids)
 
-    coded = docs.select(text_col).mapInArrow(run, "row bigint, start bigint, n bigint, ids binary")
+    coded = docs.select(text_col).transform(common.arrow(run, "row bigint, start bigint, n bigint, ids binary"))
     return common.written(coded.withColumn("part", F.spark_partition_id()))
 
 
@@ -207,8 +207,8 @@ def write(table: DataFrame, path: str, length: int = LENGTH, per_shard: int = PE
         if held_slot is not None:
             yield pa.RecordBatch.from_arrays([pa.array([held + end * (length - len(held) // 2)], pa.binary())], ["record"])
 
-    pieces = table.select("part", "start", "n", "ids").mapInArrow(cut, "shard int, slot bigint, offset int, piece binary")
-    records = pieces.repartitionById(plan.shards, F.col("shard")).sortWithinPartitions("slot", "offset").select("slot", "piece").mapInArrow(join, "record binary")
+    pieces = table.select("part", "start", "n", "ids").transform(common.arrow(cut, "shard int, slot bigint, offset int, piece binary"))
+    records = pieces.repartitionById(plan.shards, F.col("shard")).sortWithinPartitions("slot", "offset").select("slot", "piece").transform(common.arrow(join, "record binary"))
     records.select(F.col("record").cast("string")).write.mode("append").option("lineSep", "\n").option("compression", "none").text(path)
     return plan
 
@@ -227,4 +227,4 @@ def records(spark: SparkSession, path: str, plan: Plan) -> DataFrame:
                 ids = pa.array([bytes(view[j : j + stride - 1]) for j in at.tolist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(at), pa.int32()), pa.array(shard * per_shard + at // stride), pa.array(at), ids], ["shard", "slot", "byte_offset", "ids"])
 
-    return files_of(spark, path).where("length > 0").select("shard", "content").mapInArrow(cut, "shard int, slot bigint, byte_offset bigint, ids binary")
+    return files_of(spark, path).where("length > 0").select("shard", "content").transform(common.arrow(cut, "shard int, slot bigint, byte_offset bigint, ids binary"))
