@@ -30,6 +30,8 @@ BUCKET_ENTRIES = 256_000
 
 Arrays = dict[str, np.ndarray]
 
+QUESTION = "bucket int, slice bigint, payload binary"
+
 
 def buckets_for(entries: int) -> int:
     """A power of two (the exponent) so that buckets have about ``BUCKET_ENTRIES``."""
@@ -79,42 +81,48 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]
         yield held
 
 
-def ask(slices: DataFrame, question: Callable[[dict], Arrays], answer: Callable[[np.ndarray, np.ndarray, Arrays], tuple[Arrays, list[float]]], bits: int) -> DataFrame:
-    """(slice, bucket, payload, totals): the answers to the questions of all slices.
+def sent(number: int, asked: Arrays, bits: int) -> Iterator[pa.RecordBatch]:
+    """A slice's question as rows (bucket, slice, payload)."""
+    key = asked["key"]
+    if len(key):
+        bucket = key >> np.uint64(64 - bits) if bits else np.zeros(len(key), np.uint64)
+        cut = np.append(np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1))), len(key))
+        own = [pack({n: a[low:high] for n, a in asked.items()}) for low, high in zip(cut[:-1], cut[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array([number] * len(own), pa.int64()), pa.array(own, pa.binary())], ["bucket", "slice", "payload"])
 
-    ``question`` gives a slice's sorted distinct keys (``key``) and arrays beside
-    them.  ``answer`` gets a bucket's distinct keys, for each entry the index of
-    its key, and the entries' arrays; it gives arrays for the entries, and numbers
-    of the bucket, which come with its first row (null with the others).
-    """
+
+def questions(slices: DataFrame, question: Callable[[Arrays], Arrays], bits: int) -> DataFrame:
+    """What each slice asks of its state: sorted distinct keys (``key``) and arrays beside them."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                asked = question(row)
-                key = asked["key"]
-                if not len(key):
-                    continue
-                bucket = key >> np.uint64(64 - bits) if bits else np.zeros(len(key), np.uint64)
-                cut = np.append(np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1))), len(key))
-                own = [pack({n: a[low:high] for n, a in asked.items()}) for low, high in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array([row["slice"]] * len(own), pa.int64()), pa.array(own, pa.binary())], ["bucket", "slice", "payload"])
+                yield from sent(batch.column("slice")[i].as_py(), question(unpack(batch.column("state")[i].as_py())), bits)
+
+    return slices.select("slice", "state").transform(common.arrow(send, QUESTION))
+
+
+def answers(asked: DataFrame, answer: Callable[[np.ndarray, np.ndarray, Arrays], tuple[Arrays, list[float]]], bits: int) -> DataFrame:
+    """(slice, bucket, payload, totals): the answers to the questions of all slices.
+
+    ``answer`` gets a bucket's distinct keys, for each entry the index of its key,
+    and the entries' arrays; it gives arrays for the entries, and numbers of the
+    bucket, which come with its first row (null with the others).
+    """
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, "bucket"):
-            asked = [unpack(r["payload"]) for r in rows]
-            merged = {n: np.concatenate([a[n] for a in asked]) for n in asked[0]}
+            parts = [unpack(r["payload"]) for r in rows]
+            merged = {n: np.concatenate([a[n] for a in parts]) for n in parts[0]}
             keys, entry = np.unique(merged.pop("key"), return_inverse=True)
-            answers, totals = answer(keys, entry, merged)
-            cut = np.cumsum([0, *(len(a["key"]) for a in asked)]).tolist()
-            payloads = [pack({n: a[low:high] for n, a in answers.items()}) for low, high in zip(cut[:-1], cut[1:], strict=True)]
+            given, totals = answer(keys, entry, merged)
+            cut = np.cumsum([0, *(len(a["key"]) for a in parts)]).tolist()
+            payloads = [pack({n: a[low:high] for n, a in given.items()}) for low, high in zip(cut[:-1], cut[1:], strict=True)]
             first = [totals] + [None] * (len(rows) - 1)
             yield pa.RecordBatch.from_arrays([pa.array([r["slice"] for r in rows], pa.int64()), pa.array([r["bucket"] for r in rows], pa.int32()), pa.array(payloads, pa.binary()), pa.array(first, pa.list_(pa.float64()))], ["slice", "bucket", "payload", "totals"])
 
-    sent = slices.transform(common.arrow(send, "bucket int, slice bigint, payload binary"))
     parts = max(1, 1 << bits)
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "slice").transform(common.arrow(reply, "slice bigint, bucket int, payload binary, totals array<double>"))
+    return asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "slice").transform(common.arrow(reply, "slice bigint, bucket int, payload binary, totals array<double>"))
 
 
 def stored(slices: DataFrame) -> DataFrame:
@@ -126,13 +134,13 @@ def stored(slices: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def visit(slices: DataFrame, answers: list[DataFrame], visitor: Callable[[int, Arrays, list[Arrays]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def visit(slices: DataFrame, tables: list[DataFrame], visitor: Callable[[int, Arrays, list[Arrays]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """What ``visitor`` makes of each slice, its state and its answers in the order of its sorted keys."""
     rows = None
-    for k, table in enumerate(answers):
+    for k, table in enumerate(tables):
         part = table.select("slice", F.lit(k).alias("kind"), "bucket", "payload")
         rows = part if rows is None else rows.unionAll(part)
-    kinds = len(answers)
+    kinds = len(tables)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         kind, bucket = right.column("kind").to_numpy(), right.column("bucket").to_numpy()

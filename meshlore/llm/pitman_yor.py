@@ -131,8 +131,7 @@ def seat(customers: np.ndarray, rate: np.ndarray, discount: float, rng: np.rando
     return np.maximum(np.minimum(tables, customers), customers > 0)
 
 
-def _ask_pairs(row: dict) -> exchange.Arrays:
-    state = exchange.unpack(row["state"])
+def _ask_pairs(state: exchange.Arrays) -> exchange.Arrays:
     pair, _, before, after, count = _pairs(state)
     train = np.repeat(state["held"] == 0, state["length"])
     own = np.bincount(_tokens(state)[train], minlength=len(state["key"]))
@@ -156,9 +155,8 @@ def _answer_pairs(keys: np.ndarray, entry: np.ndarray, asked: exchange.Arrays) -
     return out, []
 
 
-def _word_questions(number: int, state: exchange.Arrays, answers: list[exchange.Arrays]) -> Iterator[pa.RecordBatch]:
+def _ask_words(state: exchange.Arrays, pairs: exchange.Arrays) -> exchange.Arrays:
     """A slice's word counts in training, and the tables of the pairs it answers for, by context and by word."""
-    pairs = answers[0]
     _, _, before, after, _ = _pairs(state)
     n = len(state["key"])
     train = np.repeat(state["held"] == 0, state["length"])
@@ -168,7 +166,7 @@ def _word_questions(number: int, state: exchange.Arrays, answers: list[exchange.
         tables = pairs[f"t{s}"][own].astype(np.float64)
         out[f"context{s}"] = np.bincount(before[own], tables, minlength=n).astype(np.uint32)
         out[f"word{s}"] = np.bincount(after[own], tables, minlength=n).astype(np.uint32)
-    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([exchange.pack(out)], pa.binary())], ["slice", "state"])
+    return out
 
 
 def _answer_words(keys: np.ndarray, entry: np.ndarray, asked: exchange.Arrays) -> tuple[exchange.Arrays, list[float]]:
@@ -195,9 +193,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     slices = corpus_slices(docs, id_col, text_col)
     size = slices.agg(F.sum("tokens").alias("tokens")).first()
     bits = exchange.buckets_for(int(size["tokens"] or 0))
-    pairs = common.written(exchange.ask(slices.select("slice", "state"), _ask_pairs, _answer_pairs, bits))
-    asking = exchange.visit(slices, [pairs], _word_questions, "slice bigint, state binary")
-    known = common.written(exchange.ask(asking, lambda row: exchange.unpack(row["state"]), _answer_words, bits))
+    pairs = common.written(exchange.answers(exchange.questions(slices, _ask_pairs, bits), _answer_pairs, bits))
+    asked = exchange.visit(slices, [pairs], lambda number, state, found: exchange.sent(number, _ask_words(state, found[0]), bits), exchange.QUESTION)
+    known = common.written(exchange.answers(asked, _answer_words, bits))
     sums = known.where("totals IS NOT NULL").agg(*[F.sum(F.col("totals")[k]).alias(f"s{k}") for k in range(2 + 2 * SAMPLES)]).first()
     total, distinct, *seating = [float(x or 0) for x in sums]
 

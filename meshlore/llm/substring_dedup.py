@@ -108,8 +108,7 @@ def corpus_slices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return exchange.stored(rows.transform(common.arrow(run, "state binary, chunks bigint")).withColumn("slice", F.monotonically_increasing_id()))
 
 
-def _ask(row: dict) -> exchange.Arrays:
-    state = exchange.unpack(row["state"])
+def _ask(state: exchange.Arrays) -> exchange.Arrays:
     return {"key": state["key"], "lowest": state["lowest"]}
 
 
@@ -158,7 +157,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     slices = corpus_slices(docs, id_col, text_col)
     size = slices.agg(F.sum("chunks").alias("chunks")).first()
-    keepers = exchange.ask(slices.select("slice", "state"), _ask, _answer, exchange.buckets_for(int(size["chunks"] or 0)))
+    bits = exchange.buckets_for(int(size["chunks"] or 0))
+    keepers = exchange.answers(exchange.questions(slices, _ask, bits), _answer, bits)
 
     def run(_: int, state: exchange.Arrays, answers: list[exchange.Arrays]) -> Iterator[pa.RecordBatch]:
         if len(state["key"]):
