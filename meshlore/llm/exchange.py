@@ -26,7 +26,7 @@ from pyspark.sql.types import _parse_datatype_string
 from . import common
 
 #: Entries that a bucket has about.
-BUCKET_ENTRIES = 256_000
+BUCKET_ENTRIES = 1_000_000
 
 Arrays = dict[str, np.ndarray]
 

@@ -49,7 +49,7 @@ DISCOUNT, STRENGTH = 0.75, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.55, 10.0
 
 #: Bytes of text in a slice (a longer text is a slice alone).
-SLICE = 4 << 20
+SLICE = 8 << 20
 
 END = np.uint64(0x2545F4914F6CDD1D)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -192,10 +192,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     slices = corpus_slices(docs, id_col, text_col)
     size = slices.agg(F.sum("tokens").alias("tokens")).first()
-    bits = exchange.buckets_for(int(size["tokens"] or 0))
+    tokens = int(size["tokens"] or 0)
+    # Of a slice's tokens some two thirds are distinct pairs and a fifth distinct words.
+    bits, word_bits = exchange.buckets_for(2 * tokens // 3), exchange.buckets_for(tokens // 5)
     pairs = common.written(exchange.answers(exchange.questions(slices, _ask_pairs, bits), _answer_pairs, bits))
-    asked = exchange.visit(slices, [pairs], lambda number, state, found: exchange.sent(number, _ask_words(state, found[0]), bits), exchange.QUESTION)
-    known = common.written(exchange.answers(asked, _answer_words, bits))
+    asked = exchange.visit(slices, [pairs], lambda number, state, found: exchange.sent(number, _ask_words(state, found[0]), word_bits), exchange.QUESTION)
+    known = common.written(exchange.answers(asked, _answer_words, word_bits))
     sums = known.where("totals IS NOT NULL").agg(*[F.sum(F.col("totals")[k]).alias(f"s{k}") for k in range(2 + 2 * SAMPLES)]).first()
     total, distinct, *seating = [float(x or 0) for x in sums]
 
