@@ -179,7 +179,7 @@ def components(world: World, kind: int | None = None, nodes: DataFrame | None =
         before = now
     labels = edges.groupBy(F.col("u").alias("locus_id")).agg(F.min("v").alias("component"))
     nodes = world.loci.select("locus_id") if nodes is None else nodes
-    everyone = nodes.unionAll(steps.select(F.col("a").alias("locus_id"))).distinct()
+    everyone = nodes.unionAll(steps.select(F.explode(F.array("a", "b")).alias("locus_id"))).distinct()
     return everyone.join(labels, "locus_id", "left").select("locus_id", F.coalesce("component", "locus_id").alias("component"))
 
 

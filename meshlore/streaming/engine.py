@@ -288,13 +288,17 @@ def regimes(energies: DataFrame, window: int = 8) -> DataFrame:
     last = Window.orderBy("batch").rowsBetween(-(window - 1), 0)  # batches of a log are few
     h = F.collect_list("energy").over(last)
     rows = energies.withColumn("h", h)
-    steps = lambda test: F.forall(F.sequence(F.lit(1), F.size("h") - 1), test)
-    up = steps(lambda i: F.element_at("h", i + 1) > F.element_at("h", i))
-    down = steps(lambda i: F.element_at("h", i + 1) < F.element_at("h", i))
-    cycle = F.forall(F.sequence(F.lit(1), F.size("h") - 4), lambda i: F.abs(F.element_at("h", i + 4) - F.element_at("h", i)) <= 1e-3)
+
+    def steps(by: int, test) -> Column:
+        """Whether a test holds of all pairs of energies ``by`` batches apart."""
+        pairs = F.arrays_zip(F.slice("h", 1, F.greatest(F.size("h") - by, F.lit(0))).alias("x"), F.slice("h", by + 1, F.size("h")).alias("y"))
+        return F.forall(pairs, lambda p: test(p["x"], p["y"]))
+
+    up, down = steps(1, lambda x, y: y > x), steps(1, lambda x, y: y < x)
+    cycle = steps(4, lambda x, y: F.abs(y - x) <= 1e-3)
     regime = (
         F.when(F.size("h") < 3, "Initializing").when(F.array_max("h") < 1e-4, "Quiescent").when((F.array_max("h") > 1e3) | up, "Diverging")
-        .when(down, "Settling").when((F.size("h") >= window) & cycle, "LimitCycle").otherwise("Oscillating")
+        .when(down, "Settling").when((F.size("h") >= max(window, 5)) & cycle, "LimitCycle").otherwise("Oscillating")
     )
     return rows.select("batch", "energy", regime.alias("regime"))
 
