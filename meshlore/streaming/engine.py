@@ -156,6 +156,10 @@ def commit_batch(world: World, engine: Engine, pending: DataFrame) -> tuple[Worl
     rels = rels.withColumn("state", F.coalesce("__new", "state")).select(*world.relationships.columns)
     world = world.with_tables(loci=durable(loci), relationships=rels, changes=world.changes.unionByName(changes))
     world = _emerge(world, engine, changes, batch)
+    if engine.interactions:
+        from .structural import apply_interactions
+
+        world = apply_interactions(world, engine, batch)
     return world.with_tables(changes=durable(world.changes), relationships=durable(world.relationships), current_batch=batch + 1), changes
 
 
@@ -217,20 +221,21 @@ def dispatch(world: World, engine: Engine, changes: DataFrame) -> DataFrame:
     subscribed = changes.where("subject_type = 'Relationship'").select(F.col("subject_id").alias("rel_id"), "change_id", F.coalesce(slot("after", 0), F.lit(0.0)).alias("signal"))
     told = subscribed.join(world.subscriptions.where("scope = 'Specific'"), "rel_id").select(F.col("subscriber").alias("locus_id"), "change_id", "signal")
     inbox = inbox.unionAll(told).join(broadcast_if_small(world.loci.select("locus_id", F.col("kind").alias("locus_kind"), "state")), "locus_id")
-    out = world.spark.createDataFrame([], PENDING)
     none = F.lit(None)
+    # One join with the table of programs, whatever their number.
+    declared = [(p.locus_kind, p.only_locus, p.influence, float(p.gain), list(p.to) if p.to is not None else None) for p in engine.programs if p.custom is None]
+    programs = world.spark.createDataFrame(declared, "locus_kind bigint, only_locus bigint, influence bigint, gain double, to array<bigint>")
+    sums = inbox.groupBy("locus_id", "locus_kind").agg(F.sum("signal").alias("signal"), F.array_sort(F.collect_set("change_id")).alias("predecessors"), F.first("state").alias("state"))
+    value = F.col("gain") * F.col("signal")
+    fired = sums.join(F.broadcast(programs), "locus_kind").where((F.col("only_locus").isNull() | (F.col("only_locus") == F.col("locus_id"))) & (F.abs(value) > 1e-9))
+    after = F.when(F.col("to").isNull(), F.array(F.coalesce(slot("state", 0), F.lit(0.0)) + value)).otherwise(F.array(value))
+    out = fired.select(
+        F.lit("Locus").alias("subject_type"), F.explode(F.coalesce("to", F.array("locus_id"))).alias("subject_id"), F.col("influence").alias("kind"), "predecessors", after.alias("after"), none.cast("bigint").alias("wall_time"), none.cast("string").alias("metadata")
+    )
     for p in engine.programs:
-        own = inbox.where(F.col("locus_kind") == p.locus_kind)
-        own = own if p.only_locus is None else own.where(F.col("locus_id") == p.only_locus)
-        sums = own.groupBy("locus_id").agg(F.sum("signal").alias("signal"), F.array_sort(F.collect_set("change_id")).alias("predecessors"), F.first("state").alias("state"))
-        value = F.lit(p.gain) * F.col("signal")
-        sums = sums.where(F.abs(value) > 1e-9)
-        if p.to is None:
-            rows = sums.select(F.lit("Locus").alias("subject_type"), F.col("locus_id").alias("subject_id"), F.lit(p.influence).cast("bigint").alias("kind"), "predecessors", F.array(F.coalesce(slot("state", 0), F.lit(0.0)) + value).alias("after"), none.cast("bigint").alias("wall_time"), none.cast("string").alias("metadata"))
-        else:
-            rows = sums.select(F.lit("Locus").alias("subject_type"), F.explode(F.array(*[F.lit(t).cast("bigint") for t in p.to])).alias("subject_id"), F.lit(p.influence).cast("bigint").alias("kind"), "predecessors", F.array(value).alias("after"), none.cast("bigint").alias("wall_time"), none.cast("string").alias("metadata"))
-        out = out.unionByName(rows)
         if p.custom is not None:
+            own = inbox.where(F.col("locus_kind") == p.locus_kind)
+            own = own if p.only_locus is None else own.where(F.col("locus_id") == p.only_locus)
             made = own.groupBy("locus_id").applyInPandas(p.custom, "subject_id bigint, kind bigint, predecessors array<bigint>, after array<double>")
             out = out.unionByName(made.select(F.lit("Locus").alias("subject_type"), "subject_id", "kind", "predecessors", "after", none.cast("bigint").alias("wall_time"), none.cast("string").alias("metadata")))
     return out
