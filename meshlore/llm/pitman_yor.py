@@ -11,8 +11,12 @@ Each table of a context's restaurant is one customer of the parent, so
 with customers c, tables t of the contexts, and tables k of the parent.  The
 seating is sampled by blocked Gibbs steps: the customers of a dish leave their
 restaurant and are seated anew, one after another, given the rate at which the
-restaurant opens tables for the dish.  ``SAMPLES`` seatings are drawn, and the
-predictive probability is the mean of theirs.
+restaurant opens tables for the dish, (s + d t_u) P(w).  A first sweep takes t_u
+and P(w) from the corpus's counts of u and w; the second reseats everybody by the
+corpus's tables and parent that the first gave.  ``SAMPLES`` seatings are drawn in
+the second sweep, and the predictive probability is the mean of theirs.  All
+counts, tables and rates are those of the whole corpus, so the scores don't depend
+on its cut into slices.
 
 Learning reads the texts whose crc32(id as text) modulo ``FOLDS`` isn't 0; all
 texts are scored.  Nothing about the corpus is broadcast but a few totals:
@@ -31,7 +35,9 @@ counted as often as they occur.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +54,12 @@ SAMPLES = 3
 DISCOUNT, STRENGTH = 0.75, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.55, 10.0
 
+#: A restaurant of n customers is expected to have about ``EXPECTED`` * n ** ``DISCOUNT`` tables.
+EXPECTED = math.gamma(STRENGTH + 1) / (DISCOUNT * math.gamma(STRENGTH + DISCOUNT))
+
+#: Rates travel as powers of two in steps of 1 / ``RATE_STEPS``.
+RATE_STEPS = 8
+
 #: Bytes of text in a slice (a longer text is a slice alone).
 SLICE = 8 << 20
 
@@ -131,59 +143,98 @@ def seat(customers: np.ndarray, rate: np.ndarray, discount: float, rng: np.rando
     return np.maximum(np.minimum(tables, customers), customers > 0)
 
 
-def _ask_pairs(state: exchange.Arrays) -> exchange.Arrays:
+def _own(state: exchange.Arrays) -> np.ndarray:
+    """A slice's word counts in training."""
+    return np.bincount(_tokens(state)[np.repeat(state["held"] == 0, state["length"])], minlength=len(state["key"]))
+
+
+def _ask_counts(state: exchange.Arrays) -> exchange.Arrays:
+    return {"key": state["key"], "count": _own(state).astype(np.uint32)}
+
+
+def _answer_counts(keys: np.ndarray, entry: np.ndarray, asked: exchange.Arrays) -> tuple[exchange.Arrays, list[float]]:
+    count = np.bincount(entry, asked["count"].astype(np.float64), minlength=len(keys))
+    return {"count": count[entry].astype(np.uint32)}, [float(count.sum()), float((count > 0).sum())]
+
+
+def _parent(word: exchange.Arrays, s: int, customers: float, tables: float, distinct: float) -> np.ndarray:
+    """P(w) of a slice's words in sample ``s``, given the parent's customers and tables."""
+    own = np.maximum(word[f"word{s}"] - PARENT_DISCOUNT * word[f"parent{s}"], 0.0)
+    return (own + (PARENT_STRENGTH + PARENT_DISCOUNT * tables) / (distinct + 1)) / (PARENT_STRENGTH + customers)
+
+
+def _first_rates(word: exchange.Arrays, total: float, distinct: float) -> tuple[np.ndarray, np.ndarray]:
+    """For a slice's words s + d t_u as contexts and P(w) as followers, by their counts in the corpus."""
+    c = word["count"].astype(np.float64)
+    return STRENGTH + DISCOUNT * np.minimum(c, EXPECTED * c**DISCOUNT), (c + 0.5) / (total + 0.5 * (distinct + 1))
+
+
+def _next_rates(word: exchange.Arrays, customers: float, tables: float, distinct: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same by the tables of the sweep before."""
+    return STRENGTH + DISCOUNT * word["context0"], _parent(word, 0, customers, tables, distinct)
+
+
+def _ask_pairs(state: exchange.Arrays, context: np.ndarray, parent: np.ndarray) -> exchange.Arrays:
+    """A slice's pairs, their counts in training, and the rates at which the corpus's restaurants open tables for them."""
     pair, _, before, after, count = _pairs(state)
-    train = np.repeat(state["held"] == 0, state["length"])
-    own = np.bincount(_tokens(state)[train], minlength=len(state["key"]))
-    share = (own + 0.5) / (own.sum() + 0.5 * len(own))
-    # Tables of the context by the slice's own counts: the rate of opening a table.
-    rate = (STRENGTH + DISCOUNT * own[before]) * share[after]
-    return {"key": pair, "count": count.astype(np.uint32), "rate": np.clip(np.round(2 * np.log2(rate)), -127, 127).astype(np.int8)}
+    rate = np.round(RATE_STEPS * np.log2(context[before] * parent[after]))
+    return {"key": pair, "count": count.astype(np.uint32), "rate": np.clip(rate, -32768, 32767).astype(np.int16)}
 
 
-def _answer_pairs(keys: np.ndarray, entry: np.ndarray, asked: exchange.Arrays) -> tuple[exchange.Arrays, list[float]]:
+def _answer_pairs(keys: np.ndarray, entry: np.ndarray, asked: exchange.Arrays, samples: int) -> tuple[exchange.Arrays, list[float]]:
     count = np.bincount(entry, asked["count"].astype(np.float64), minlength=len(keys))
-    rate = np.full(len(keys), -127, dtype=np.int64)
-    np.maximum.at(rate, entry, asked["rate"].astype(np.int64))
-    rng = np.random.default_rng(int(keys[0]) & 0xFFFFFFFF)
-    _, first = np.unique(entry, return_index=True)
+    first = np.empty(len(keys), dtype=np.int64)
+    first[entry[::-1]] = np.arange(len(entry))[::-1]
+    rate = 2.0 ** (asked["rate"][first] / RATE_STEPS)  # every slice asks with the same
+    rng = np.random.default_rng([int(keys[0]) & 0xFFFFFFFF, samples])
     owner = np.zeros(len(entry), dtype=np.uint8)
     owner[first] = 1
     out = {"count": count[entry].astype(np.uint32), "owner": owner}
-    for s in range(SAMPLES):
-        out[f"t{s}"] = seat(count, 2.0 ** (rate / 2), DISCOUNT, rng)[entry].astype(np.uint32)
+    for s in range(samples):
+        out[f"t{s}"] = seat(count, rate, DISCOUNT, rng)[entry].astype(np.uint32)
     return out, []
 
 
-def _ask_words(state: exchange.Arrays, pairs: exchange.Arrays) -> exchange.Arrays:
+def _ask_words(state: exchange.Arrays, pairs: exchange.Arrays, samples: int) -> exchange.Arrays:
     """A slice's word counts in training, and the tables of the pairs it answers for, by context and by word."""
     _, _, before, after, _ = _pairs(state)
     n = len(state["key"])
-    train = np.repeat(state["held"] == 0, state["length"])
-    out = {"key": state["key"], "count": np.bincount(_tokens(state)[train], minlength=n).astype(np.uint32)}
+    out = {"key": state["key"], "count": _own(state).astype(np.uint32)}
     own = pairs["owner"] == 1
-    for s in range(SAMPLES):
+    for s in range(samples):
         tables = pairs[f"t{s}"][own].astype(np.float64)
         out[f"context{s}"] = np.bincount(before[own], tables, minlength=n).astype(np.uint32)
         out[f"word{s}"] = np.bincount(after[own], tables, minlength=n).astype(np.uint32)
     return out
 
 
-def _answer_words(keys: np.ndarray, entry: np.ndarray, asked: exchange.Arrays) -> tuple[exchange.Arrays, list[float]]:
+def _answer_words(keys: np.ndarray, entry: np.ndarray, asked: exchange.Arrays, samples: int, parent_rate: float) -> tuple[exchange.Arrays, list[float]]:
     n = len(keys)
     summed = {name: np.bincount(entry, a.astype(np.float64), minlength=n) for name, a in asked.items()}
-    rng = np.random.default_rng(int(keys[0]) & 0xFFFFFFFF)
-    totals = [float(summed["count"].sum()), float((summed["count"] > 0).sum())]
+    rng = np.random.default_rng([int(keys[0]) & 0xFFFFFFFF, samples])
     out = {name: a[entry].astype(np.uint32) for name, a in summed.items()}
-    # The parent's rate of opening a table: its tables are about as many as its dishes.
-    rate = np.full(n, PARENT_DISCOUNT)
-    for s in range(SAMPLES):
-        tables = seat(summed[f"word{s}"], rate, PARENT_DISCOUNT, rng)
+    totals = []
+    for s in range(samples):
+        tables = seat(summed[f"word{s}"], np.full(n, parent_rate), PARENT_DISCOUNT, rng)
         out[f"parent{s}"] = tables[entry].astype(np.uint32)
         totals += [float(summed[f"word{s}"].sum()), float(tables.sum())]
     return out, totals
 
 
+def _totals(answers: DataFrame, n: int) -> list[float]:
+    sums = answers.where("totals IS NOT NULL").agg(*[F.sum(F.col("totals")[k]).alias(f"s{k}") for k in range(n)]).first()
+    return [float(x or 0) for x in sums]
+
+
+def _sweep(slices: DataFrame, known: DataFrame, rates: Callable[[exchange.Arrays], tuple[np.ndarray, np.ndarray]], samples: int, parent_rate: float, bits: int, word_bits: int) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Everybody seated anew by ``rates`` of the known words: answers about pairs and words, customers and tables of the parent."""
+    asked = exchange.visit(slices, [known], lambda number, state, found: exchange.sent(number, _ask_pairs(state, *rates(found[0])), bits), exchange.QUESTION)
+    pairs = common.written(exchange.answers(asked, partial(_answer_pairs, samples=samples), bits))
+    asked = exchange.visit(slices, [pairs], lambda number, state, found: exchange.sent(number, _ask_words(state, found[0], samples), word_bits), exchange.QUESTION)
+    words = common.written(exchange.answers(asked, partial(_answer_words, samples=samples, parent_rate=parent_rate), word_bits))
+    return pairs, words, _totals(words, 2 * samples)
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``.
 
@@ -195,11 +246,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     tokens = int(size["tokens"] or 0)
     # Of a slice's tokens some two thirds are distinct pairs and a fifth distinct words.
     bits, word_bits = exchange.buckets_for(2 * tokens // 3), exchange.buckets_for(tokens // 5)
-    pairs = common.written(exchange.answers(exchange.questions(slices, _ask_pairs, bits), _answer_pairs, bits))
-    asked = exchange.visit(slices, [pairs], lambda number, state, found: exchange.sent(number, _ask_words(state, found[0]), word_bits), exchange.QUESTION)
-    known = common.written(exchange.answers(asked, _answer_words, word_bits))
-    sums = known.where("totals IS NOT NULL").agg(*[F.sum(F.col("totals")[k]).alias(f"s{k}") for k in range(2 + 2 * SAMPLES)]).first()
-    total, distinct, *seating = [float(x or 0) for x in sums]
+    counts = common.written(exchange.answers(exchange.questions(slices, _ask_counts, word_bits), _answer_counts, word_bits))
+    total, distinct = _totals(counts, 2)
+    # At first the parent's tables are taken to be as many as its dishes.
+    rate = (PARENT_STRENGTH + PARENT_DISCOUNT * distinct) / (distinct + 1)
+    _, words, (customers, tables) = _sweep(slices, counts, partial(_first_rates, total=total, distinct=distinct), 1, rate, bits, word_bits)
+    rate = (PARENT_STRENGTH + PARENT_DISCOUNT * tables) / (distinct + 1)
+    pairs, known, seating = _sweep(slices, words, partial(_next_rates, customers=customers, tables=tables, distinct=distinct), SAMPLES, rate, bits, word_bits)
 
     def finish(number: int, state: exchange.Arrays, answers: list[exchange.Arrays]) -> Iterator[pa.RecordBatch]:
         pair, word = answers
@@ -209,8 +262,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         probability = np.zeros(len(before))
         for s in range(SAMPLES):
             customers, tables = seating[2 * s : 2 * s + 2]
-            own = np.maximum(word[f"word{s}"] - PARENT_DISCOUNT * word[f"parent{s}"], 0.0)
-            parent = (own + (PARENT_STRENGTH + PARENT_DISCOUNT * tables) / (distinct + 1)) / (PARENT_STRENGTH + customers)
+            parent = _parent(word, s, customers, tables, distinct)
             at = STRENGTH + c  # a word is followed by one token each time: its customers are its count
             rest = (STRENGTH + DISCOUNT * word[f"context{s}"]) / at
             seen = np.maximum(pair["count"] - DISCOUNT * pair[f"t{s}"], 0.0)
