@@ -267,12 +267,6 @@ def _(w):
     return equivalence.behavioral_partition(own, 1)
 
 
-@_query("behavioral_distances")
-def _(w):
-    own = w.with_tables(loci=w.loci.where("kind = 2 AND locus_id < 10000012"), relationships=w.relationships.where("kind = 3 AND src < 10000012 AND dst < 10000012"))
-    return equivalence.behavioral_distances(own, 2, locus_metric=equivalence.state_metric(20000.0)).select("a", "b", F.round("distance", 9).alias("distance"))
-
-
 # The causal log.
 
 
