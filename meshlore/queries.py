@@ -395,7 +395,7 @@ def _(w):
 
 @_query("locus_tension")
 def _(w):
-    return entities.locus_tension(entities.boundary(w, 0.25)).limit(100)
+    return entities.locus_tension(entities.boundary(w, 0.25))
 
 
 @_query("coherence_autocorrelation")

@@ -3,8 +3,9 @@
 import math
 
 import pytest
-from meshlore.operators import equivalence
+from meshlore.operators import entities, equivalence
 from meshlore.queries import QUERIES
+from meshlore.sources.projection import project
 from meshlore.world import World
 
 from worlds import edge
@@ -42,3 +43,9 @@ def test_behavioral_distances_against_definition(spark):
     want = plain_distances(loci, rels, 3, 0.9, 20.0)
     assert {(r.a, r.b): r.distance for r in got.collect()} == {k: pytest.approx(v) for k, v in want.items()}
     assert "behavioral_distances" not in QUERIES  # quadratic: no query, so none over some of the ids
+
+
+def test_locus_tension_has_every_locus(spark):
+    report = entities.boundary(project(spark, SF), 0.25).select("subject", "object").collect()
+    got = [r.locus_id for r in QUERIES["locus_tension"](spark, SF).collect()]
+    assert len(got) == len(set(got)) > 100 and set(got) == {x for r in report for x in r}
