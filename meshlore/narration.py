@@ -51,7 +51,7 @@ class Narrator:
         score = sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
         rows = relationship_list(self.world).withColumn("score", score).orderBy(F.desc("score"), "rel_id").limit(self.top_k).collect()
         groups = entities_summary(self.world).orderBy(F.desc("coherence"), "entity_id").limit(self.top_k).collect()
-        facts = "\n".join([r["text"] for r in rows] + [f"group {g['entity_id']}: {', '.join(g['names'])}" for g in groups])
+        facts = "\n".join([r["text"] for r in rows] + [f"group {g['entity_id']}: {', '.join(g['names'][:10])}" for g in groups])
         return self.client.complete("Answer from these facts only.", f"{facts}\n\nQuestion: {question}")
 
     def narrate_counterfactual(self, removed: list[tuple[str, str]]) -> str:

@@ -41,9 +41,11 @@ def relationship_list(world: World) -> DataFrame:
     return rows.select("rel_id", F.format_string("%s %s %s (kind %d, activity %.3f)", "a", F.when(F.col("directed"), "->").otherwise("--"), "b", "kind", "activity").alias("text"))
 
 
-def entities_summary(world: World, most: int = 10) -> DataFrame:
-    """(entity_id, status, coherence, n_members, names): the first member names in order."""
+def entities_summary(world: World) -> DataFrame:
+    """(entity_id, display_name, status, coherence, n_members, names): all member names in order; the display name has three."""
     name = _labels(world).select("locus_id", "name")
     member = world.entities.select("entity_id", F.explode("members").alias("locus_id")).join(name, "locus_id")
-    first = member.groupBy("entity_id").agg(F.slice(F.array_sort(F.collect_list("name")), 1, most).alias("names"))
-    return world.entities.join(first, "entity_id", "left").select("entity_id", "status", "coherence", F.size("members").alias("n_members"), F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+    named = member.groupBy("entity_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    rows = world.entities.join(named, "entity_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    display = F.concat(F.array_join(F.slice("names", 1, 3), ", "), F.when(F.size("members") > 3, "…").otherwise(""))
+    return rows.select("entity_id", display.alias("display_name"), "status", "coherence", F.size("members").alias("n_members"), "names")

@@ -5,6 +5,7 @@ import math
 import pytest
 from meshlore.operators import entities, equivalence
 from meshlore.queries import QUERIES
+from meshlore.sources.export import entities_summary
 from meshlore.sources.projection import project
 from meshlore.world import World
 
@@ -49,3 +50,12 @@ def test_locus_tension_has_every_locus(spark):
     report = entities.boundary(project(spark, SF), 0.25).select("subject", "object").collect()
     got = [r.locus_id for r in QUERIES["locus_tension"](spark, SF).collect()]
     assert len(got) == len(set(got)) > 100 and set(got) == {x for r in report for x in r}
+
+
+def test_entities_summary_names_all_members(spark):
+    rows = QUERIES["entities_summary"](spark, SF).collect()
+    names = {r.c_custkey: r.c_name for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
+    assert sorted(x for r in rows for x in r.names) == sorted(names.values()) and all(len(r.names) == r.n_members for r in rows)
+    assert all(r.display_name == ", ".join(r.names[:3]) + ("…" if r.n_members > 3 else "") for r in rows)
+    many = World.from_rows(spark, 1, loci=[(i, 1, [0.0]) for i in range(12)], entities=[(1, "Active", list(range(12)), [], 0.5)])
+    assert len(entities_summary(many).first().names) == 12
