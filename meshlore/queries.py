@@ -92,9 +92,8 @@ def _(w):
 
 @_query("most_similar_relationships")
 def _(w):
-    edges = w.with_tables(relationships=w.relationships.where("kind = 4"))
-    anchor = edges.relationships.agg(F.min("rel_id")).first()[0]
-    return find.most_similar_relationships(edges, anchor, 20).select("rel_id", F.round("similarity", 6).alias("similarity"))
+    anchor = w.relationships.agg(F.min("rel_id")).first()[0]
+    return find.most_similar_relationships(w, anchor, 20).select("rel_id", F.round("similarity", 6).alias("similarity"))
 
 
 # Topology and aggregates.
@@ -251,20 +250,14 @@ def _(w):
     return centrality.all_closeness(w, _kind3(w, 0.35)).select("locus_id", F.round("score", 6).alias("score"))
 
 
-@_query("betweenness")
-def _(w):
-    return centrality.all_betweenness(w, _kind3(w, 0.35)).select("locus_id", F.round("score", 9).alias("score"))
-
-
 @_query("louvain")
 def _(w):
-    return centrality.louvain(w, 1.0, _kind3(w, 0.35))
+    return centrality.louvain(w)
 
 
 @_query("behavioral_partition")
 def _(w):
-    own = w.with_tables(loci=w.loci.where("kind IN (2, 3)"), relationships=w.relationships.where("kind = 2"))
-    return equivalence.behavioral_partition(own, 1)
+    return equivalence.behavioral_partition(w)
 
 
 # The causal log.
@@ -420,7 +413,7 @@ def _(w):
 
 @_query("dot_export")
 def _(w):
-    return dot_lines(w.with_tables(loci=w.loci.where("kind = 2"), relationships=w.relationships.where("kind = 3"))).select("part", "id", "line")
+    return dot_lines(w).select("part", "id", "line")
 
 
 @_query("lineage_scalars", "SELECT rel_id, round(change_count / CAST(greatest(83 - created_batch, 1) AS DOUBLE), 6) AS touch_rate, kind AS dominant_flow_kind, greatest(83 - created_batch, 0) AS age FROM rel WHERE kind IN (3, 4)")

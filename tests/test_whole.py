@@ -59,3 +59,19 @@ def test_entities_summary_names_all_members(spark):
     assert all(r.display_name == ", ".join(r.names[:3]) + ("…" if r.n_members > 3 else "") for r in rows)
     many = World.from_rows(spark, 1, loci=[(i, 1, [0.0]) for i in range(12)], entities=[(1, "Active", list(range(12)), [], 0.5)])
     assert len(entities_summary(many).first().names) == 12
+
+
+def test_queries_take_the_whole_world(spark):
+    world = project(spark, SF)
+    loci = {r.locus_id for r in world.loci.select("locus_id").collect()}
+    edges = {r.rel_id: r.state for r in world.relationships.select("rel_id", "state").collect()}
+    assert {r.locus_id for r in QUERIES["behavioral_partition"](spark, SF).collect()} == loci
+    communities = {r.locus_id: r.community for r in QUERIES["louvain"](spark, SF).collect()}
+    assert loci <= set(communities) and any(c != i for i, c in communities.items() if i < 10_000_000) and any(c != i for i, c in communities.items() if i > 20_000_000)
+    lines = QUERIES["dot_export"](spark, SF).collect()
+    assert {r.id for r in lines if r.part == 1} == loci and {r.id for r in lines if r.part == 2} == set(edges)
+    anchor = edges.pop(min(edges))
+    cosine = lambda x: sum(a * b for a, b in zip(x, anchor, strict=True)) / (math.hypot(*x) * math.hypot(*anchor) or 1.0)
+    got = sorted((r.similarity for r in QUERIES["most_similar_relationships"](spark, SF).collect()), reverse=True)
+    assert got == pytest.approx(sorted((round(cosine(x), 6) for x in edges.values()), reverse=True)[:20], abs=2e-6)
+    assert "betweenness" not in QUERIES  # all sources over all edges: no query, so none over some of the edges
