@@ -1,5 +1,11 @@
 """That the corpus operators' results are those of the whole corpus, however it is cut."""
 
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
 import pytest
 from meshlore.llm import pitman_yor
 
@@ -10,3 +16,79 @@ def test_pitman_yor_does_not_depend_on_slices(spark):
     rows = [(i, prose(i, 150)) for i in range(120)] + [(200, None), (201, "zzz qqq")]
     one, many = ({r.doc_id: r.score for r in pitman_yor.score_texts(frame(spark, rows, parts=n)).collect()} for n in (1, 12))
     assert one == {i: pytest.approx(score, rel=1e-9) for i, score in many.items()}
+
+
+class Restaurant:
+    """Customers one by one at tables of known sizes, as the process is defined."""
+
+    def __init__(self, discount, strength, base, r):
+        self.d, self.s, self.base, self.r = discount, strength, base, r
+        self.tables, self.n, self.t = defaultdict(list), 0, 0
+
+    def p(self, w):
+        own = self.tables.get(w, [])
+        return (sum(own) - self.d * len(own) + (self.s + self.d * self.t) * self.base.p(w)) / (self.s + self.n)
+
+    def add(self, w):
+        own = self.tables[w]
+        x = self.r.random() * (sum(own) - self.d * len(own) + (self.s + self.d * self.t) * self.base.p(w))
+        self.n += 1
+        for i, size in enumerate(own):
+            x -= size - self.d
+            if x < 0:
+                own[i] += 1
+                return
+        own.append(1)
+        self.t += 1
+        self.base.add(w)
+
+    def remove(self, w):
+        own = self.tables[w]
+        i = self.r.choices(range(len(own)), own)[0]
+        own[i] -= 1
+        self.n -= 1
+        if not own[i]:
+            own.pop(i)
+            self.t -= 1
+            self.base.remove(w)
+
+
+class Uniform:
+    def __init__(self, n):
+        self.n = n
+
+    def p(self, w):
+        return 1 / (self.n + 1)
+
+    def add(self, w):
+        pass
+
+    remove = add
+
+
+def plain_scores(texts, sweeps=20, kept=12):
+    tokens = {i: [x for x in re.split(r"[ \t-\r]+", t.lower()) if x] + [None] for i, t in texts}
+    steps = {i: list(zip([None, *x], x)) for i, x in tokens.items()}  # noqa: B905
+    train = [x for i, own in steps.items() if zlib.crc32(str(i).encode()) % 10 for x in own]
+    r = random.Random(1)
+    parent = Restaurant(pitman_yor.PARENT_DISCOUNT, pitman_yor.PARENT_STRENGTH, Uniform(len({w for _, w in train})), r)
+    contexts = defaultdict(lambda: Restaurant(pitman_yor.DISCOUNT, pitman_yor.STRENGTH, parent, r))
+    p = Counter()
+    for sweep in range(sweeps):
+        for u, w in train:
+            if sweep:
+                contexts[u].remove(w)
+            contexts[u].add(w)
+        if sweep >= sweeps - kept:
+            for u, w in {x for own in steps.values() for x in own}:
+                p[u, w] += contexts[u].p(w) / kept
+    return {i: sum(math.log10(p[x]) for x in own) for i, own in steps.items()}
+
+
+@pytest.mark.parametrize("parts", [1, 12])
+def test_pitman_yor_against_a_plain_sampler(spark, parts):
+    rows = [(i, prose(i, 150)) for i in range(60)]
+    want = plain_scores(rows)
+    got = {r.doc_id: r.score for r in pitman_yor.score_texts(frame(spark, rows, parts=parts)).collect()}
+    assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.01)
+    assert all(got[i] == pytest.approx(want[i], rel=0.02) for i in want)
