@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -136,10 +137,33 @@ def in_bitmaps(rows: DataFrame, key: str, maps: DataFrame) -> DataFrame:
     )
 
 
+class Scratch:
+    """Intermediate tables of one call in the shared folder; ``close`` removes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+        self.tables: list[str] = []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = f"{checkpoint_dir(self.spark)}/table-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def dropped(self, *paths: str) -> None:
+        for path in paths:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def close(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.dropped(f"{checkpoint_dir(self.spark)}/{name}")
+        self.dropped(*self.paths)
+        self.paths, self.tables = [], []
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it from there."""
-    import uuid
-
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).written(df)

@@ -252,15 +252,6 @@ def test_pitman_yor_counts_and_probabilities(spark):
     assert pitman_yor.score_texts(frame(spark, [])).count() == 0
 
 
-def test_seating():
-    rng = np.random.default_rng(1)
-    t = pitman_yor.seat(np.array([0, 1, 5, 5000]), np.array([1.0, 1.0, 0.1, 2.0]), 0.7, rng)
-    assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 5 and 1 < t[3] < 5000
-    # P(two tables for two customers) = rate / (1 - d + rate)
-    many = pitman_yor.seat(np.full(20000, 2), np.full(20000, 0.5), 0.75, rng)
-    assert abs((many == 2).mean() - 0.5 / 0.75) < 0.02
-
-
 def test_pack():
     a = {"key": np.sort(np.random.default_rng(1).integers(0, 2**63, 100).astype(np.uint64)), "x": np.arange(100, dtype=np.uint32), "none": np.zeros(0, np.int64)}
     b = exchange.unpack(exchange.pack(a))
