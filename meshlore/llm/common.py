@@ -110,31 +110,43 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     return list(first.values())
 
 
-#: Bitmaps of 32,768 bits that stand for a set of keys: 4 MB in all, whatever the set.
-BITMAPS = 1024
+#: Bits of a filter for each key, the bits of one bitmap, and the most bits in all (16 MB): more keys are joined instead.
+FILTER_BITS, BITMAP, MOST_BITS = 16, 1 << 15, 1 << 27
 
 
-def _slot(key: Column) -> tuple[Column, Column]:
-    place = F.pmod(F.xxhash64(key), F.lit(BITMAPS * 32768))
-    return F.shiftright(place, 15).cast("int"), place.bitwiseAND(32767).cast("int")
-
-
-def bitmaps(keys: DataFrame, key: str) -> DataFrame:
-    """(bucket, bits) of fixed size that stand for the keys, with false members but no missing ones."""
-    bucket, bit = _slot(F.col(key))
-    return durable(keys.select(bucket.alias("__bucket"), bit.cast("long").alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits")))
+class KeySet:
+    """A set of keys that rows are tested against.
 
+    A set whose filter fits ``MOST_BITS`` is held as bitmaps, sized by the counted
+    keys and broadcast; these have false members (one row in 16 at most), but no
+    missing ones.  A larger set is joined, salted for hot keys, and exact.
+    """
 
-def in_bitmaps(rows: DataFrame, key: str, maps: DataFrame) -> DataFrame:
-    """``rows`` with the boolean ``__in``; the bitmaps are broadcast, ``BITMAPS`` rows at most."""
-    bucket, bit = _slot(F.col(key))
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.shiftright("__bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return (
-        rows.withColumns({"__bucket": bucket, "__bit": bit})
-        .join(F.broadcast(maps), "__bucket", "left")
-        .withColumn("__in", F.coalesce(F.getbit(byte, F.col("__bit").bitwiseAND(7)), F.lit(0)) == 1)
-        .drop("__bucket", "__bit", "__bits")
-    )
+    def __init__(self, keys: DataFrame, key: str):
+        """``keys`` may repeat; ``key`` is hashed as it is."""
+        distinct = durable(keys.select(F.xxhash64(key).alias("key")).distinct())
+        bits = max(BITMAP, 1 << (FILTER_BITS * max(1, distinct.count()) - 1).bit_length())
+        self.maps = bits // BITMAP if bits <= MOST_BITS else None
+        self.keys = distinct
+        if self.maps:
+            bucket, bit = self._slot(F.col("key"))
+            self.keys = durable(distinct.select(bucket.alias("bucket"), bit.cast("long").alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
+
+    def _slot(self, hashed: Column) -> tuple[Column, Column]:
+        place = F.pmod(hashed, F.lit(self.maps * BITMAP))
+        return F.shiftright(place, 15).cast("int"), place.bitwiseAND(BITMAP - 1).cast("int")
+
+    def marked(self, rows: DataFrame, key: Column) -> DataFrame:
+        """(row, inside): each row of ``rows`` as a struct, and whether its key may be in the set."""
+        hashed = F.xxhash64(key)
+        if not self.maps:
+            rows = rows.select(F.struct("*").alias("row"), hashed.alias("key"))
+            return salted_left_join(rows, self.keys.withColumn("found", F.lit(True)), "key").select("row", F.coalesce("found", F.lit(False)).alias("inside"))
+        bucket, bit = self._slot(hashed)
+        rows = rows.select(F.struct("*").alias("row"), bucket.alias("bucket"), bit.alias("bit"))
+        byte = F.conv(F.hex(F.substring(F.col("bits"), F.shiftright("bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+        inside = F.coalesce(F.getbit(byte, F.col("bit").bitwiseAND(7)), F.lit(0)) == 1
+        return rows.join(F.broadcast(self.keys), "bucket", "left").select("row", inside.alias("inside"))
 
 
 class Scratch:

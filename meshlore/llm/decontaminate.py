@@ -14,10 +14,17 @@ benchmark is handed to the workers in blocks of at most ``BLOCK_WORDS`` words:
 one block if it is small, and else one pass over the documents for each block,
 so what is broadcast has a fixed bound.
 
-Defined cases: null and empty texts overlap with nothing.  Items of fewer than
-``SHORTEST_ITEM`` words are not searched, and items too short for a seed are
-searched by all their words.  Items with a null id are searched and reported
-with a null item_id.  Repeated rows of either table are rows of their own.
+Repeated words make many hits.  Of hits that follow each other on a diagonal only
+the first counts, found for each distinct pair of neighbouring windows; diagonals
+are compared in blocks of ``CELLS`` words, and a pair of text and item is done when
+a diagonal has the whole item.
+
+Defined cases: null and empty texts overlap with nothing, items without words
+neither.  Items too short for a seed are searched by all their words, and have to
+be there whole if they have fewer than ``SHORT`` words.  Items with a null id are
+searched and reported with a null item_id.  Repeated rows of either table are rows
+of their own.  Of equal overlaps of a pair the one first in the text is reported.
+Columns of ``docs`` of any name are left alone.
 """
 
 from __future__ import annotations
@@ -37,7 +44,8 @@ from .blocks import Words, blocks, shingle_coefficients, windows, words
 #: The masks.  They tolerate a replaced word in every fifth, fourth and third place.
 MASKS = ("1101111011", "101110111", "11011011")
 
-SHORTEST_ITEM = 5
+SHORT = 5
+CELLS = 1 << 20
 LEAST_WORDS = 13
 LEAST_SHARE = 0.8
 BLOCK_WORDS = 1_000_000
@@ -71,13 +79,13 @@ class Index:
         found = [words(b) for b in blocks(pa.array([t for _, t in rows], pa.large_string()), 1 << 40)]
         hashed, first = found[0].hash, found[0].first
         n = np.diff(first)
-        short = sorted({int(x) for x in n if SHORTEST_ITEM <= x < max(map(len, MASKS))})
+        short = sorted({int(x) for x in n if 0 < x < max(map(len, MASKS))})
         seeds = _seeds() + [shingle_coefficients(k) * np.uint64(2 * k + 1001) for k in short]
         item = np.repeat(np.arange(len(rows)), n)
         hashes, places = [], []
         for k, seed in enumerate(seeds):
             h, at = windows(found[0], seed)
-            own = n[item[at]] == len(seed) if k >= len(MASKS) else n[item[at]] >= SHORTEST_ITEM
+            own = n[item[at]] == len(seed) if k >= len(MASKS) else np.ones(len(at), dtype=bool)
             hashes.append(h[own])
             places.append(at[own])
         h, at = np.concatenate(hashes), np.concatenate(places)
@@ -87,6 +95,34 @@ class Index:
         maybe[h >> np.uint64(64 - _FILTER_BITS)] = True
         return cls(seeds, h, at, maybe, hashed, item, first, [i for i, _ in rows])
 
+    def _hits(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows of a text and places of the benchmark with equal hashes, the first of each run along a diagonal.
+
+        ``h`` and ``at`` are the hashes and first words of windows, in order.
+        """
+        near = self.maybe[h >> np.uint64(64 - _FILTER_BITS)]
+        low, high = np.searchsorted(self.hash, h[near], "left"), np.searchsorted(self.hash, h[near], "right")
+        some = high > low
+        at, low, high = at[near][some], low[some], high[some]
+        follows = np.zeros(len(at), dtype=bool)
+        follows[1:] = at[1:] == at[:-1] + 1
+        before = np.where(follows, np.append(0, low[:-1]), -1)
+        # What begins at a window depends on it and the one before: one search for each distinct pair.
+        pair, first, of = np.unique(np.stack([before, low]), axis=1, return_index=True, return_inverse=True)
+        begun = []
+        for k, i in enumerate(first.tolist()):
+            places = self.at[low[i] : high[i]]
+            if pair[0, k] >= 0:
+                goes_on = np.isin(places - 1, self.at[low[i - 1] : high[i - 1]], assume_unique=True)
+                places = places[~goes_on | (places == self.first[self.item[places]])]
+            begun.append(places)
+        n = np.array([len(x) for x in begun], dtype=np.int64)
+        start = np.cumsum(n) - n
+        every = np.concatenate(begun) if begun else np.zeros(0, np.int64)
+        many = n[of]
+        at = np.repeat(at, many)
+        return at, every[np.repeat(start[of], many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)]
+
     def overlaps(self, found: Words) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words compared, words equal): the best of each pair."""
         if not len(self.hash):
@@ -94,33 +130,48 @@ class Index:
         diagonals = []
         doc_of = found.doc()
         for seed in self.seeds:
-            h, at = windows(found, seed)
-            near = self.maybe[h >> np.uint64(64 - _FILTER_BITS)]
-            h, at = h[near], at[near]
-            low, high = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-            many = high - low
-            if not many.any():
-                continue
-            at = np.repeat(at, many)
-            place = self.at[np.repeat(low, many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)]
-            item = self.item[place]
-            diagonals.append(np.stack([doc_of[at], item, at - (place - self.first[item])], axis=1))
+            at, place = self._hits(*windows(found, seed))
+            if len(at):
+                item = self.item[place]
+                diagonals.append(np.unique(np.stack([doc_of[at], item, at - (place - self.first[item])], axis=1), axis=0))
         if not diagonals:
             return []
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, i, start in np.unique(np.concatenate(diagonals), axis=0).tolist():
-            n = int(self.first[i + 1] - self.first[i])
-            low, high = max(start, int(found.first[d])), min(start + n, int(found.first[d + 1]))
-            equal = found.hash[low:high] == self.words[self.first[i] + low - start : self.first[i] + high - start]
-            run = np.concatenate([[0], np.cumsum(np.where(equal, 1, -1))])
-            gain = run - np.minimum.accumulate(run)
-            end = int(gain.argmax())
-            begin = int(run[: end + 1][::-1].argmin())
-            begin = end - begin
-            matched = int(equal[begin:end].sum())
-            if matched >= min(LEAST_WORDS, max(SHORTEST_ITEM, int(np.ceil(LEAST_SHARE * n)))) and matched > best.get((d, i), (0, 0, 0))[2]:
-                best[d, i] = (low + begin - int(found.first[d]), end - begin, matched)
-        return [(d, i, *x) for (d, i), x in sorted(best.items())]
+        every = np.unique(np.concatenate(diagonals), axis=0)
+        cuts = np.flatnonzero((np.diff(every[:, :2], axis=0) != 0).any(axis=1)) + 1
+        out = []
+        for part in np.split(every, cuts):
+            best = self._best(found, int(part[0, 0]), int(part[0, 1]), part[:, 2])
+            if best:
+                out.append((int(part[0, 0]), int(part[0, 1]), *best))
+        return out
+
+    def _best(self, found: Words, d: int, i: int, starts: np.ndarray) -> tuple[int, int, int] | None:
+        """(first word, words compared, words equal) of the best stretch on the diagonals of a text and an item."""
+        item = self.words[self.first[i] : self.first[i + 1]]
+        n, low, high = len(item), int(found.first[d]), int(found.first[d + 1])
+        need, best = min(LEAST_WORDS, n, max(SHORT, int(np.ceil(LEAST_SHARE * n)))), None
+        step = max(1, CELLS // n)
+        for k in range(0, len(starts), step):
+            own = starts[k : k + step]
+            at = own[:, None] + np.arange(n)
+            inside = (at >= low) & (at < high)
+            equal = inside & (found.hash[np.clip(at, low, high - 1)] == item)
+            run = np.zeros((len(own), n + 1), dtype=np.int32)
+            np.cumsum(np.where(equal, 1, np.where(inside, -1, 0)), axis=1, out=run[:, 1:])
+            gain = run - np.minimum.accumulate(run, axis=1)
+            end = gain.argmax(axis=1)
+            rows = np.arange(len(own))
+            # The last least value before the end.
+            lowest = run[rows, end] - gain[rows, end]
+            begin = np.where((run == lowest[:, None]) & (np.arange(n + 1) <= end[:, None]), np.arange(n + 1), -1).max(axis=1)
+            matched = np.append(np.zeros((len(own), 1), np.int32), np.cumsum(equal, axis=1, dtype=np.int32), axis=1)
+            count = matched[rows, end] - matched[rows, begin]
+            top = int(count.argmax())
+            if count[top] >= need and (best is None or count[top] > best[2]):
+                best = (int(own[top] + begin[top]) - low, int(end[top] - begin[top]), int(count[top]))
+                if count[top] == n:
+                    break
+        return best
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[Index]:

@@ -56,7 +56,7 @@ def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("full_hash")).alias("text_sha256"))
+    return exact_dedup.exact_dedup(docs, digests=True).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("full_hash")).alias("text_sha256"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

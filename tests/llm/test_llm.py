@@ -48,7 +48,7 @@ def test_words_match_split():
 
 def test_exact_dedup(spark):
     rows = ODD + [(20 + i, "same text\n here") for i in range(50)] + [(100, "same text  here")]
-    got = exact_dedup.exact_dedup(frame(spark, rows)).collect()
+    got = exact_dedup.exact_dedup(frame(spark, rows), digests=True).collect()
     norm = lambda t: re.sub(r"[\x20\x09-\x0d]+", " ", t or "")
     groups = {}
     for i, t in rows:
@@ -59,10 +59,22 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
 
-def test_exact_dedup_clashing_columns(spark):
-    docs = frame(spark, [(1, "a"), (2, "a"), (3, "b")]).withColumn("keep_id_", F.lit(1)).withColumn("__size_", F.lit(2))
-    assert sorted(r.doc_id for r in exact_dedup.distinct_documents(docs).collect()) == [1, 3]
-    assert exact_dedup.distinct_documents(docs).columns == docs.columns
+def test_exact_dedup_clashing_and_repeated_rows(spark):
+    docs = frame(spark, [(1, "a"), (1, "a"), (2, "a"), (3, "b"), (4, "c\ne"), (4, "c e"), (None, "d"), (None, "d"), (None, "a")])
+    for name in ("full_hash", "keep_id", "kept", "group_size", "id", "row", "inside", "key", "bucket", "bits", "__keep", "__size", "__salt"):
+        docs = docs.withColumn(name, F.lit(name))
+    kept = exact_dedup.distinct_documents(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text.split()[0]) for r in kept.collect()) == [("1", "a"), ("3", "b"), ("4", "c"), ("None", "d")]
+    assert exact_dedup.exact_dedup(docs).where("kept").count() == 7
+    assert exact_dedup.distinct_documents(docs.limit(0)).count() == 0
+
+
+def test_key_sets_join_what_is_too_large_for_bitmaps(spark, monkeypatch):
+    rows = [(i % 40, f"text {i % 25}") for i in range(200)] + [(100 + i, f"lone {i}") for i in range(50)]
+    want = sorted(tuple(r) for r in exact_dedup.exact_dedup(frame(spark, rows)).drop("full_hash").collect())
+    monkeypatch.setattr(common, "MOST_BITS", 1)
+    assert sorted(tuple(r) for r in exact_dedup.exact_dedup(frame(spark, rows)).drop("full_hash").collect()) == want
 
 
 def test_bpe_against_library(spark):
@@ -182,6 +194,51 @@ def test_decontamination(spark):
     assert decontaminate.find(frame(spark, []), bench).count() == 0
 
 
+def plain_overlaps(text, item):
+    """Most equal words of a stretch, over all diagonals on which a seed fits."""
+    w, v = (text or "").lower().split(), (item or "").lower().split()
+    n, best = len(v), 0
+    for start in range(-len(v) + 1, len(w)):
+        equal = {j: w[start + j] == v[j] for j in range(n) if 0 <= start + j < len(w)}
+        masks = decontaminate.MASKS if n >= 10 else [*[m for m in decontaminate.MASKS if len(m) <= n], "1" * n]
+        if not any(all(b == "0" or equal.get(j + k) for k, b in enumerate(m)) and j + len(m) - 1 in equal and j in equal for m in masks for j in equal):
+            continue
+        run, lowest, gain, stretch, at = 0, 0, 0, 0, 0
+        matched, first = 0, 0
+        for j in sorted(equal):
+            run += 1 if equal[j] else -1
+            matched += equal[j]
+            if run - lowest > gain:
+                gain, stretch = run - lowest, matched - first
+            if run <= lowest:
+                lowest, first, at = run, matched, j
+        best = max(best, stretch)
+    return best if n and best >= min(13, n, max(5, math.ceil(0.8 * n))) else 0
+
+
+def test_decontamination_against_brute_force(spark):
+    r = random.Random(8)
+    small = "a b c d e f".split()
+    items = [(i, " ".join(r.choice(small) for _ in range(r.choice([0, 1, 2, 4, 6, 9, 12, 30])))) for i in range(25)] + [(30, "x " * 40), (31, "a b " * 20)]
+    docs = []
+    for i in range(60):
+        own = [r.choice(small) for _ in range(r.randrange(40))]
+        own += items[r.randrange(len(items))][1].split()
+        docs.append((i, " ".join(r.choice(small) if r.random() < 0.1 else x for x in own)))
+    docs += [(100, "x " * 300), (101, "b a " * 60), (102, "x " * 20)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = {(d, i): n for d, t in docs for i, u in items if (n := plain_overlaps(t, u))}
+    got = {(x.doc_id, x.item_id): x.words_equal for x in decontaminate.find(frame(spark, docs).withColumn("item_id", F.lit(1)), bench).collect()}
+    assert got == want and len(want) > 100
+
+
+def test_decontamination_of_repeated_words():
+    index = decontaminate.Index.build([(1, "x " * 100), (2, "y z " * 50)])
+    text = pa.array(["x " * 1_000_000, "y z " * 50_000])
+    found = [hit for b in blocks(text, 1 << 30) for hit in index.overlaps(words(b))]
+    assert found == [(0, 0, 0, 100, 100), (1, 1, 0, 100, 100)]
+
+
 def labelled(n):
     docs, labels = [], []
     for i in range(n):
