@@ -50,8 +50,8 @@ def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per record of the shards that it writes, read back from them."""
     tokens = training_order.token_table(table(spark, sf_dir, "documents").select("text"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
     path = f"{common.checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
-    plan = training_order.write(tokens, path)
-    return training_order.records(spark, path, plan).select("shard", "slot", "byte_offset", (F.length("ids") / 2).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
+    training_order.write(tokens, path)
+    return training_order.records(spark, path).select("shard", "slot", "byte_offset", (F.length("ids") / 2).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

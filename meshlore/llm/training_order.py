@@ -11,18 +11,26 @@
    the slots from k * per_shard on.  A record is the ids as little-endian unsigned
    16-bit integers and one byte 0x0A, so slot j of a shard begins at j * stride and
    reading on from any slot is a seek.  Shards are written by Spark's committer: a
-   lost task leaves no part of a shard, and ``write`` skips shards that are whole.
+   lost task leaves no part of a shard.
+
+A manifest beside the shards holds tokens, length, records per shard, key and a
+digest of the stream, so a reader needs the folder only.  ``write`` puts it there
+first.  In a folder that has one it goes on where the last run stopped: shards that
+are whole stay, shards of a wrong size are removed and written again; a folder of
+another stream or key is refused.  The stream follows the order of the table as it
+was read when ``token_table`` was written, so keep that table for a restart.
 
 Defined cases: a null text counts as empty and gives the end id alone.  The strings of
 special tokens are ordinary text.  An empty table gives no shard and no rows.
-Rows that repeat are tokenised as often as they occur.
+Rows that repeat are tokenised as often as they occur.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +42,10 @@ from . import common
 from .blocks import blocks, mix64
 
 LENGTH = 2048
-PER_SHARD = 4096
+
+#: Records of a shard, unless that makes more than ``MOST_SHARDS`` shards.
+PER_SHARD, MOST_SHARDS = 4096, 1 << 16
+MANIFEST = "_manifest.json"
 KEY = 20240229
 END_ID = 50256
 ROUNDS = 4
@@ -126,6 +137,7 @@ class Plan:
     length: int
     per_shard: int
     key: int
+    digest: str = ""
 
     @property
     def sequences(self) -> int:
@@ -143,31 +155,73 @@ class Plan:
         return min(self.per_shard, self.sequences - shard * self.per_shard)
 
 
+def _place(spark: SparkSession, path: str):
+    """A path and the file system it is on."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def manifest(spark: SparkSession, path: str) -> Plan | None:
+    """The plan by which a folder of shards was begun; none if it has none."""
+    place, files = _place(spark, f"{path}/{MANIFEST}")
+    if not files.exists(place):
+        return None
+    stream = files.open(place)
+    try:
+        return Plan(**json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+    finally:
+        stream.close()
+
+
+def _begin(spark: SparkSession, path: str, plan: Plan) -> None:
+    known = manifest(spark, path)
+    if known is None:
+        place, files = _place(spark, path)
+        if files.exists(place) and len(files.listStatus(place)):
+            raise ValueError(f"{path} has files but no {MANIFEST}")
+        place, files = _place(spark, f"{path}/{MANIFEST}")
+        stream = files.create(place, True)
+        stream.write(bytearray(json.dumps(asdict(plan)).encode()))
+        stream.close()
+    elif known != plan:
+        raise ValueError(f"{path} holds shards of another stream or order: {known}, not {plan}")
+
+
 def _finished(spark: SparkSession, path: str, plan: Plan) -> list[int]:
-    """Shards of a folder that are whole already."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(folder):
+    """Shards of a folder that are whole already; files that are not, or too many, are removed."""
+    place, files = _place(spark, path)
+    if not any(x.getPath().getName().startswith("part-") for x in files.listStatus(place)):
         return []
-    found = files_of(spark, path).select("shard", "length").collect()
-    return sorted({r["shard"] for r in found if r["length"] == plan.stride * plan.records(r["shard"])})
+    found: dict[int, list] = {}
+    for r in files_of(spark, path).select("shard", "length", "path").collect():
+        found.setdefault(r["shard"], []).append(r)
+    done = []
+    for shard, own in found.items():
+        if len(own) == 1 and 0 <= shard < plan.shards and own[0]["length"] == plan.stride * plan.records(shard):
+            done.append(shard)
+        else:
+            for r in own:
+                files.delete(spark._jvm.org.apache.hadoop.fs.Path(r["path"]), False)
+    return sorted(done)
 
 
 def files_of(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, length, content) of each shard's file."""
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"part-(\d+)-", 1).cast("int").alias("shard"), "length", "content")
+    """(shard, path, length, content) of each shard's file."""
+    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"part-(\d+)-", 1).cast("int").alias("shard"), "path", "length", "content")
 
 
-def write(table: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end_id: int = END_ID) -> Plan:
+def write(table: DataFrame, path: str, length: int = LENGTH, per_shard: int | None = None, key: int = KEY, end_id: int = END_ID) -> Plan:
     """Write the shards of a token table to the folder ``path``, those still missing."""
     spark = table.sparkSession
-    totals = table.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # one row per task that wrote
+    totals = table.groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.xxhash64("part", "row", "start", "n", "ids").cast("decimal(38,0)")).alias("h")).orderBy("part").collect()  # one row per task that wrote
     base, tokens = {}, 0
     for r in totals:
         base[r["part"]] = tokens
         tokens += r["n"]
-    plan = Plan(tokens, length, per_shard, key)
+    if per_shard is None:
+        per_shard = max(PER_SHARD, -(-tokens // (length * MOST_SHARDS)))
+    plan = Plan(tokens, length, per_shard, key, f"{sum(int(r['h']) for r in totals) % (1 << 64):016x}")
+    _begin(spark, path, plan)
     if not tokens:
         return plan
     done = set(_finished(spark, path, plan))
@@ -213,8 +267,11 @@ def write(table: DataFrame, path: str, length: int = LENGTH, per_shard: int = PE
     return plan
 
 
-def records(spark: SparkSession, path: str, plan: Plan) -> DataFrame:
-    """(shard, slot, byte_offset, ids) of every record, read back from the shards."""
+def records(spark: SparkSession, path: str, plan: Plan | None = None) -> DataFrame:
+    """(shard, slot, byte_offset, ids) of every record, read back from the shards; the plan is that of the manifest."""
+    plan = plan or manifest(spark, path)
+    if plan is None:
+        raise ValueError(f"{path} has no {MANIFEST}")
     if not plan.tokens:
         return spark.createDataFrame([], "shard int, slot bigint, byte_offset bigint, ids binary")
     stride, per_shard = plan.stride, plan.per_shard

@@ -363,7 +363,20 @@ def test_training_order(spark, tmp_path):
     training_order.write(table, str(tmp_path / "shards"), length=64, per_shard=5)
     again = training_order.records(spark, str(tmp_path / "shards"), plan).collect()
     assert sorted((r.slot, bytes(r.ids)) for r in again) == sorted((r.slot, bytes(r.ids)) for r in rows)
-    assert training_order.records(spark, "none", training_order.write(training_order.token_table(docs.limit(0), path), str(tmp_path / "none"))).count() == 0
+    # A shard cut short is replaced, one that is there twice too; the manifest is all a reader needs.
+    files = sorted((tmp_path / "shards").glob("part-*"))
+    files[2].write_bytes(files[2].read_bytes()[: 2 * plan.stride])
+    (tmp_path / "shards" / files[3].name.replace("-c000", "-c001")).write_bytes(files[3].read_bytes())
+    training_order.write(table, str(tmp_path / "shards"), length=64, per_shard=5)
+    again = training_order.records(spark, str(tmp_path / "shards")).collect()
+    assert sorted((r.slot, bytes(r.ids)) for r in again) == sorted((r.slot, bytes(r.ids)) for r in rows)
+    for other in ({"key": 5}, {"length": 32}):
+        with pytest.raises(ValueError, match="another stream"):
+            training_order.write(table, str(tmp_path / "shards"), **{"length": 64, "per_shard": 5} | other)
+    with pytest.raises(ValueError, match="another stream"):
+        training_order.write(training_order.token_table(docs.where("doc_id <> 3"), path), str(tmp_path / "shards"), length=64, per_shard=5)
+    training_order.write(training_order.token_table(docs.limit(0), path), str(tmp_path / "none"))
+    assert training_order.records(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_pipeline_stages(spark):
