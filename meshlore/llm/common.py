@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Salts over which the rows of one key are dealt in a salted join.
 SALTS = 8
@@ -29,6 +30,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return known
 
 
+def integer_ids(docs: DataFrame, id_col: str) -> Column:
+    """The id as a bigint; ids of another type are refused, as a cast would lose them."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{id_col} has to be an integer, not {kind.simpleString()}")
+    return F.col(f"`{id_col}`").cast("bigint")
+
+
 def release_memory() -> None:
     """Hand back to the system what the allocators hold of freed memory."""
     pa.default_memory_pool().release_unused()

@@ -14,8 +14,11 @@ similarity of their sets is ``THRESHOLD`` or more.
    gives every document's number of links, and the classes of linked documents.
 
 Neither buckets nor groups are collected: members are dealt into blocks, and each
-pair of blocks is a task of its own.  Pairs stay inside a task; only spanning
-edges and counts leave it, as many as there are members.
+pair of blocks is a task of its own: at most twice ``GROUP_MEMBERS`` members and
+``GROUP_BLOCK`` shingles (a longer text is a block alone).  Pairs stay inside a task;
+only spanning edges and counts leave it, as many as there are members.  The number
+of links of n different texts that are all near copies of each other takes n^2
+comparisons; equal texts none.
 
 A pair at the threshold misses all bands with probability (1 - 0.8^4)^24 = 3e-6;
 more similar pairs less.
@@ -23,7 +26,8 @@ more similar pairs less.
 Defined cases: null and empty texts have no shingles; each is a class of its own
 with no links.  A text of fewer than five words is one shingle, all its words.
 Rows with a null id get null classes and no links.  Rows that repeat an id count
-as one document that has each of their texts.
+as one document that has each of their texts.  Ids have to be integers.  Columns of
+any other name go along in ``representatives``.
 """
 
 from __future__ import annotations
@@ -48,9 +52,10 @@ HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-5
 
-#: Members of a bucket's block; shingles of a group's block.
+#: Members of a bucket's block; shingles and members of a group's block.
 BUCKET_BLOCK = 256
 GROUP_BLOCK = 250_000
+GROUP_MEMBERS = 512
 
 _MULTIPLY = mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix64(np.arange(1001, 1001 + HASHES, dtype=np.uint64))
@@ -95,7 +100,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sigs = pa.array([raw[i : i + 2 * HASHES] for i in range(0, len(raw), 2 * HASHES)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*columns, sigs], ["id", "d1", "d2", "n", "sig"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).transform(common.arrow(run, "id bigint, d1 bigint, d2 bigint, n bigint, sig binary"))
+    return docs.select(common.integer_ids(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text")).transform(common.arrow(run, "id bigint, d1 bigint, d2 bigint, n bigint, sig binary"))
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -321,16 +326,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reps = common.written(named.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.min_by(F.struct("n", "sig"), "id").alias("s")).select("d1", "d2", "id", "s.n", "s.sig"))
 
     keys = _bands(reps)
-    maps = common.bitmaps(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "key")
-    members = common.written(common.in_bitmaps(keys, "key", maps).where("__in").select("key", "id", F.lit(1).alias("w")))
+    shared = common.KeySet(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "key")
+    members = common.written(shared.marked(keys, F.col("key")).where("inside").select("row.key", "row.id", F.lit(1).alias("w")))
     dealt = _dealt(members, "key", "w", BUCKET_BLOCK).join(reps.select("id", "sig"), "id")
     edges = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id").select("key", "bi", "bj", "side", "id", "sig").transform(common.arrow(_candidates, "a bigint, b bigint"))
     groups = common.durable(components(edges))
 
-    weighted = groups.select(F.col("node").alias("id"), "component").join(reps.groupBy("id").agg(F.max("n").alias("n")), "id")
+    # A member weighs its shingles, or as much as fills a block with ``GROUP_MEMBERS``.
+    weight = F.greatest("n", F.lit(max(1, GROUP_BLOCK // GROUP_MEMBERS))).cast("long")
+    weighted = groups.select(F.col("node").alias("id"), "component").join(reps.groupBy("id").agg(F.max("n").alias("n")), "id").withColumn("n", weight)
     weighted = common.durable(weighted)
-    wanted = common.bitmaps(weighted, "id")
-    texts = common.in_bitmaps(docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL"), "id", wanted).where("__in").select("id", "text")
+    rows = docs.select(common.integer_ids(docs, id_col).alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).where("id IS NOT NULL")
+    texts = common.KeySet(weighted, "id").marked(rows, F.col("id")).where("inside").select("row.id", "row.text")
     sets = _shingle_sets(texts)
     checked = common.durable(
         _dealt(weighted, "component", "n", GROUP_BLOCK)
@@ -360,8 +367,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows without a class (null id, no words) stay.  Only rows that may have to go
     are joined; the others pass the scan.
     """
-    gone = common.durable(jaccard_join(docs, id_col, text_col).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__gone")).distinct())
-    told = common.in_bitmaps(docs.withColumn("__id", F.col(id_col).cast("bigint")), "__id", common.bitmaps(gone, "__gone"))
-    stay = told.where(~F.col("__in")).select(*docs.columns)
-    maybe = told.where("__in").join(gone, F.col("__id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    found = jaccard_join(docs, id_col, text_col).toDF("id", "text_id", "class_id", "n_links", "n_shingles")
+    gone = common.durable(found.where("id <> class_id").select("id").distinct())
+    told = common.KeySet(gone, "id").marked(docs, common.integer_ids(docs, id_col))
+    stay = told.where("NOT inside").select("row.*")
+    maybe = told.where("inside").withColumn("id", F.col(f"row.`{id_col}`").cast("bigint")).join(gone, "id", "left_anti").select("row.*")
     return stay.unionAll(maybe)

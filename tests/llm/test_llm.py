@@ -154,9 +154,33 @@ def test_jaccard_blocks_lose_no_link(spark, monkeypatch):
     whole = sorted(tuple(r) for r in similarity.jaccard_join(frame(spark, rows)).collect() if r.doc_id is not None)
     monkeypatch.setattr(similarity, "BUCKET_BLOCK", 8)
     monkeypatch.setattr(similarity, "GROUP_BLOCK", 500)
+    monkeypatch.setattr(similarity, "GROUP_MEMBERS", 7)
     assert sorted(tuple(r) for r in similarity.jaccard_join(frame(spark, rows)).collect() if r.doc_id is not None) == whole
 
 
+def test_jaccard_clashing_columns_and_text_ids(spark):
+    docs = frame(spark, near_rows())
+    want = sorted(str(r.doc_id) for r in similarity.representatives(docs).collect())
+    for name in ("__bucket", "__bits", "__gone", "id", "class_id", "row", "inside", "bucket", "bit", "component", "key"):
+        docs = docs.withColumn(name, F.lit(name))
+    kept = similarity.representatives(docs)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == want
+    with pytest.raises(TypeError, match="integer"):
+        similarity.jaccard_join(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_intersections_of_a_block_are_bounded():
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    sets = [np.unique(np.append(np.arange(9, dtype=np.uint64), r.integers(100, 1 << 40, 2).astype(np.uint64))) for _ in range(2 * similarity.GROUP_MEMBERS)]
+    tracemalloc.start()
+    both = similarity._intersections(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert both[0, 1] >= 9 and peak < 200e6
+
+
 def test_bayesian_bound():
     need = similarity.least_matches()
     assert list(need) == list(range(16, 97, 16)) and all(0 < need[n] < 0.8 * n for n in need)
