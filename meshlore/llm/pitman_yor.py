@@ -75,7 +75,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: Messages that also carry totals; ``kind`` tells what they are.
 REPORT = f"{MESSAGE}, kind int, totals array<double>"
-_QUESTION, _SEATS, _TOTALS = 0, 1, 2
+_QUESTION, _SEATS, _TOTALS, _FACTS, _BOOK = range(5)
 
 
 @dataclass
@@ -159,7 +159,7 @@ def _number_words(bucket: int, found: Mail) -> Iterator[pa.RecordBatch]:
     rank[by_count] = np.arange(len(keys), dtype=np.uint64)
     cut = np.cumsum([0, *(len(a["key"]) for _, a in found)])
     payloads = [exchange.pack({"rank": rank[entry[low:high]], "count": count[entry[low:high]]}) for low, high in zip(cut[:-1], cut[1:], strict=True)]
-    book = exchange.pack({"class": (keys[by_count] & _CLASS).astype(np.uint16), "count": count[by_count]})
+    book = exchange.pack({"class": (keys[by_count] & _CLASS).astype(np.uint16), "count": count[by_count], "size": np.array([len(keys)])})
     yield pa.RecordBatch.from_arrays(
         [
             pa.array([*(s for s, _ in found), -1], pa.int64()),
@@ -269,20 +269,26 @@ class Dishes:
     count: np.ndarray
     route: np.ndarray  # the order in which the words' buckets are asked
     word_bits: int
+    dish: np.ndarray  # in that order, whether the word is a dish here
+    facts: Arrays | None = None
     seen: np.ndarray | None = None
     group: np.ndarray | None = None
     group_word: np.ndarray | None = None
     group_class: np.ndarray | None = None
 
     @staticmethod
-    def of(state: Arrays, facts: Mail | None, word_bits: int) -> Dishes:
+    def of(state: Arrays, word_bits: int) -> Dishes:
         route = np.argsort(state["word"] & np.uint64((1 << word_bits) - 1), kind="stable")
-        made = Dishes(state, state["of_word"].astype(np.int64), state["of_context"].astype(np.int64), state["count"].astype(np.int64), route, word_bits)
-        if facts is not None:
-            made.seen = made.told(facts, "count").astype(np.float64)
-            code, made.group = np.unique(made.word * CLASSES + made.told(facts, "class")[made.context].astype(np.int64), return_inverse=True)
-            made.group_word, made.group_class = code // CLASSES, code % CLASSES
-        return made
+        dish = np.zeros(len(route), dtype=bool)
+        dish[state["of_word"]] = True
+        return Dishes(state, state["of_word"].astype(np.int64), state["of_context"].astype(np.int64), state["count"].astype(np.int64), route, word_bits, dish[route])
+
+    def known(self, facts: Arrays) -> Dishes:
+        """With the counts and classes of the words, in the order of ``state["word"]``."""
+        self.facts, self.seen = facts, facts["count"].astype(np.float64)
+        code, self.group = np.unique(self.word * CLASSES + facts["class"][self.context].astype(np.int64), return_inverse=True)
+        self.group_word, self.group_class = code // CLASSES, code % CLASSES
+        return self
 
     def told(self, found: Mail, name: str) -> np.ndarray:
         """What the words' buckets said of the words, in the order of ``state["word"]``."""
@@ -291,14 +297,26 @@ class Dishes:
         out[self.route] = said
         return out
 
+    def own(self, found: Mail) -> np.ndarray:
+        """Of the dishes: customers in the root less the discount of their tables there (else 0)."""
+        out = np.zeros(len(self.route))
+        out[self.route[self.dish]] = exchange.joined(found, "customers").astype(np.float64) - ROOT_DISCOUNT * exchange.joined(found, "held").astype(np.float64)
+        return out
+
     def sums(self, of: np.ndarray, what: np.ndarray) -> np.ndarray:
         return np.bincount(of, what, minlength=len(self.state["word"])).astype(np.uint64)
 
-    def questions(self, bucket: int, tables: np.ndarray, customers: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """To the words' buckets: the words' tables as contexts, and as dishes their customers in the root, both in this bucket."""
+    def questions(self, bucket: int, tables: np.ndarray, customers: np.ndarray, first: bool = False) -> Iterator[pa.RecordBatch]:
+        """To the words' buckets: the words' tables as contexts, and as dishes one more than their customers in the root, both in this bucket.
+
+        Which words these are is said the first time only.
+        """
         asked = self.state["word"][self.route]
         to = (asked & np.uint64((1 << self.word_bits) - 1)).astype(np.int64)
-        yield from exchange.mail(bucket, to, {"asked": asked >> np.uint64(self.word_bits), "tables": tables[self.route], "customers": customers[self.route]})
+        said = {"tables": tables[self.route], "customers": np.where(self.dish, customers[self.route] + np.uint64(1), np.uint64(0))}
+        if first:
+            said["asked"] = asked >> np.uint64(self.word_bits)
+        yield from exchange.mail(bucket, to, said)
 
     def salt(self) -> np.ndarray:
         return mix64(self.state["word"][self.word] * _MIX + mix64(self.state["word"][self.context]))
@@ -320,7 +338,7 @@ def _unpacked(seats: Mail, dishes: Dishes) -> tuple[np.ndarray, np.ndarray]:
 def _resat(dishes: Dishes, tables: np.ndarray, held: np.ndarray, said: Mail, totals: Totals, round_: int) -> tuple[np.ndarray, np.ndarray]:
     """One sweep over a bucket: tables of pairs, then of groups, drawn anew."""
     open_in = dishes.told(said, "tables").astype(np.float64)
-    own = dishes.told(said, "own")
+    own = dishes.own(said)
     root = _root(own, totals)
     many = np.flatnonzero(dishes.count > 1)
     t, group, of_context = tables[many], dishes.group[many], dishes.context[many]
@@ -354,7 +372,7 @@ def _predictive(dishes: Dishes, tables: np.ndarray, held: np.ndarray, said: Mail
     """P(w | u) of a bucket's pairs in one sample."""
     customers = np.bincount(dishes.group, tables, minlength=len(dishes.group_word))
     all_customers, all_tables = (x[dishes.group_class] for x in totals.classes)
-    root = _root(dishes.told(said, "own"), totals)[dishes.group_word]
+    root = _root(dishes.own(said), totals)[dishes.group_word]
     parent = (np.maximum(customers - CLASS_DISCOUNT * held, 0.0) + (CLASS_STRENGTH + CLASS_DISCOUNT * all_tables) * root) / (CLASS_STRENGTH + all_customers)
     rest = STRENGTH + DISCOUNT * dishes.told(said, "tables").astype(np.float64)[dishes.context]
     return (np.maximum(dishes.count - DISCOUNT * tables, 0.0) + rest * parent[dishes.group]) / (STRENGTH + dishes.seen[dishes.context])
@@ -365,27 +383,32 @@ def _report(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array([kind] * b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.list_(pa.float64()))], ["receiver", "sender", "payload", "kind", "totals"])
 
 
+def _note(bucket: int, arrays: Arrays, kind: int) -> Iterator[pa.RecordBatch]:
+    """What a bucket keeps for its own later rounds."""
+    yield from _report(iter([pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([bucket], pa.int64()), pa.array([exchange.pack(arrays)], pa.binary())], ["receiver", "sender", "payload"])]), kind)
+
+
 def _open_pairs(row: pa.Table, bucket: int, _: list[Mail], word_bits: int) -> Iterator[pa.RecordBatch]:
     """At first each dish of a context has one table, and each is a customer of the root."""
-    dishes = Dishes.of(exchange.unpack(row.column("state")[0].as_py()), None, word_bits)
+    dishes = Dishes.of(exchange.unpack(row.column("state")[0].as_py()), word_bits)
     tables = np.minimum(dishes.count, 1)
-    yield from _report(dishes.questions(bucket, dishes.sums(dishes.context, tables), dishes.sums(dishes.word, tables)), _QUESTION)
+    yield from _report(dishes.questions(bucket, dishes.sums(dishes.context, tables), dishes.sums(dishes.word, tables), first=True), _QUESTION)
 
 
 def _sweep_pairs(row: pa.Table, bucket: int, found: list[Mail], word_bits: int, totals: Totals, round_: int) -> Iterator[pa.RecordBatch]:
-    dishes = Dishes.of(exchange.unpack(row.column("state")[0].as_py()), found[0], word_bits)
-    if len(found) > 2:
-        said = found[1]
-        tables, held = _unpacked(found[2], dishes)
-    else:
-        said = found[0]
+    dishes, said = Dishes.of(exchange.unpack(row.column("state")[0].as_py()), word_bits), found[0]
+    if round_ == 1:
+        dishes.known({"count": dishes.told(said, "count"), "class": dishes.told(said, "class")})
+        yield from _note(bucket, dishes.facts, _FACTS)
         tables, held = np.minimum(dishes.count, 1), np.zeros(len(dishes.group_word), np.int64)
+    else:
+        dishes.known(exchange.unpack(row.column("facts")[0].as_py()))
+        tables, held = _unpacked(found[1], dishes)
     tables, held = _resat(dishes, tables, held, said, totals, round_)
     customers = np.bincount(dishes.group, tables, minlength=len(dishes.group_word))
     yield from _report(dishes.questions(bucket, dishes.sums(dishes.context, tables), dishes.sums(dishes.group_word, held)), _QUESTION)
     seats = {"pair": tables[dishes.count > 1].astype(np.uint64), "group": held.astype(np.uint64)}
-    own = pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([bucket], pa.int64()), pa.array([exchange.pack(seats)], pa.binary())], ["receiver", "sender", "payload"])
-    yield from _report(iter([own]), _SEATS)
+    yield from _note(bucket, seats, _SEATS)
     sums = np.stack([np.bincount(dishes.group_class, x, minlength=CLASSES) for x in (customers, held)], axis=1)
     some = np.flatnonzero(sums.any(axis=1))
     yield pa.RecordBatch.from_arrays(
@@ -397,10 +420,10 @@ def _sweep_pairs(row: pa.Table, bucket: int, found: list[Mail], word_bits: int,
 def _answer_pairs(row: pa.Table, bucket: int, found: list[Mail], word_bits: int, samples: list[Totals]) -> Iterator[pa.RecordBatch]:
     """To the slices: log10 of the mean predictive probability of each pair they asked about."""
     state = exchange.unpack(row.column("state")[0].as_py())
-    dishes = Dishes.of(state, found[0], word_bits)
+    dishes = Dishes.of(state, word_bits).known(exchange.unpack(row.column("facts")[0].as_py()))
     mean = np.zeros(len(dishes.count))
     for k, totals in enumerate(samples):
-        said, seats = found[1 + 2 * k], found[2 + 2 * k]
+        said, seats = found[2 * k], found[2 * k + 1]
         mean += _predictive(dishes, *_unpacked(seats, dishes), said, totals)
     logs = np.log10(mean / len(samples)).astype(np.float32)[state["entry"]]
     cut = np.cumsum([0, *state["lengths"].tolist()]).tolist()
@@ -412,26 +435,35 @@ def _answer_pairs(row: pa.Table, bucket: int, found: list[Mail], word_bits: int,
 
 
 def _answer_words(row: pa.Table, bucket: int, found: list[Mail], totals: Totals, round_: int) -> Iterator[pa.RecordBatch]:
-    """Sums over all buckets of pairs, and the root seated anew; the first time also counts and classes."""
+    """Sums over all buckets of pairs, and the root seated anew.
+
+    The first time also counts and classes, and to receiver -1 who asked about what.
+    """
     book, asked = exchange.unpack(row.column("state")[0].as_py()), found[0]
-    n = len(book["count"])
-    place = exchange.joined(asked, "asked").astype(np.int64)
-    tables = np.bincount(place, exchange.joined(asked, "tables").astype(np.float64), minlength=n)
-    customers = np.bincount(place, exchange.joined(asked, "customers").astype(np.float64), minlength=n)
+    every = exchange.joined(asked, "asked") if round_ == 0 else book["asked"]
+    place, n = every.astype(np.int64), int(book["size"][0])
+    dish = exchange.joined(asked, "customers") > 0
+    tables = np.bincount(place, exchange.joined(asked, "tables").astype(np.float64), minlength=n).astype(np.uint64)
+    customers = np.bincount(place[dish], exchange.joined(asked, "customers")[dish].astype(np.float64) - 1, minlength=n).astype(np.uint64)
     base = np.full(n, ROOT_STRENGTH + ROOT_DISCOUNT * (totals.root[1] or totals.distinct))
     key = mix64(np.arange(n, dtype=np.uint64) * _MIX + np.uint64(bucket))
-    own_tables = seating.tables(customers.astype(np.int64), base, np.full(n, 1 / (totals.distinct + 1)), np.zeros(n), ROOT_DISCOUNT, seating.uniforms(key, -1 - round_ & 0xFFFF))
-    own = customers - ROOT_DISCOUNT * own_tables
+    held = seating.tables(customers.astype(np.int64), base, np.full(n, 1 / (totals.distinct + 1)), np.zeros(n), ROOT_DISCOUNT, seating.uniforms(key, -1 - round_ & 0xFFFF)).astype(np.uint64)
+    cut = np.cumsum([0, *(len(a["tables"]) for _, a in asked)]).tolist()
     payloads = []
-    for _, a in asked:
-        at = a["asked"].astype(np.int64)
-        said = {"tables": tables[at].astype(np.uint64), "own": own[at]}
+    for low, high in zip(cut[:-1], cut[1:], strict=True):
+        at = place[low:high]
+        dishes = at[dish[low:high]]
+        said = {"tables": tables[at], "customers": customers[dishes], "held": held[dishes]}
         if round_ == 0:
             said |= {"count": book["count"][at], "class": book["class"][at]}
         payloads.append(exchange.pack(said))
-    sums = [[float(customers.sum()), float(own_tables.sum())]] + [None] * (len(asked) - 1)
+    kinds, to = [_QUESTION] * len(asked), [s for s, _ in asked]
+    if round_ == 0:
+        payloads.append(exchange.pack({"asked": every, "size": book["size"]}))
+        kinds, to = [*kinds, _BOOK], [*to, -1]
+    sums = [[float(customers.sum()), float(held.sum())]] + [None] * (len(to) - 1)
     yield pa.RecordBatch.from_arrays(
-        [pa.array([s for s, _ in asked], pa.int64()), pa.array([bucket] * len(asked), pa.int64()), pa.array(payloads, pa.binary()), pa.array([0] * len(asked), pa.int32()), pa.array(sums, pa.list_(pa.float64()))],
+        [pa.array(to, pa.int64()), pa.array([bucket] * len(to), pa.int64()), pa.array(payloads, pa.binary()), pa.array(kinds, pa.int32()), pa.array(sums, pa.list_(pa.float64()))],
         ["receiver", "sender", "payload", "kind", "totals"],
     )
 
@@ -477,23 +509,29 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         pairs, name = exchange.kept(exchange.gathered(asked, _merge_pairs, parts, "bucket bigint, state binary"), "bucket", parts)
         scratch.tables.append(name)
 
-        totals, samples, mails, facts, seats = Totals(distinct), [], [], None, None
+        totals, samples, mails = Totals(distinct), [], []
         for round_ in range(1 + BURN_IN + SAMPLES):
             if round_ == 0:
-                out = exchange.toured(pairs, "bucket", [], partial(_open_pairs, word_bits=word_bits), REPORT)
+                visit, known = partial(_open_pairs, word_bits=word_bits), []
             else:
-                known = [facts] if round_ == 1 else [facts, said, seats]
-                out = exchange.toured(pairs, "bucket", known, partial(_sweep_pairs, word_bits=word_bits, totals=totals, round_=round_), REPORT)
-            out = scratch.written(out)
+                visit, known = partial(_sweep_pairs, word_bits=word_bits, totals=totals, round_=round_), [said] if round_ == 1 else [said, seats]
+            out = scratch.written(exchange.toured(pairs, "bucket", known, visit, REPORT))
             asked = out.where(F.col("kind") == _QUESTION)
-            said = scratch.written(exchange.toured(book, "bucket", [asked], partial(_answer_words, totals=totals, round_=round_), REPORT))
-            seats = out.where(F.col("kind") == _SEATS)
-            facts = facts or said
-            totals = Totals(distinct, _summed(said), _class_sums(out) if round_ else None)
+            answers = scratch.written(exchange.toured(book, "bucket", [asked], partial(_answer_words, totals=totals, round_=round_), REPORT))
+            said, seats = answers.where(F.col("kind") == _QUESTION), out.where(F.col("kind") == _SEATS)
+            if round_ == 0:
+                own = answers.where(F.col("kind") == _BOOK).select(F.col("sender").alias("bucket"), F.col("payload").alias("state"))
+                book, name = exchange.kept(own, "bucket", 1 << word_bits)
+                scratch.tables.append(name)
+            if round_ == 1:
+                facts, name = exchange.kept(out.where(F.col("kind") == _FACTS).select(F.col("receiver").alias("bucket"), F.col("payload").alias("facts")), "bucket", parts)
+                scratch.tables.append(name)
+                pairs = pairs.join(facts.hint("merge"), "bucket")
+            totals = Totals(distinct, _summed(answers), _class_sums(out) if round_ else None)
             if round_ > BURN_IN:
                 samples.append(totals)
                 mails += [said, seats]
-        answers = exchange.toured(pairs, "bucket", [facts, *mails], partial(_answer_pairs, word_bits=word_bits, samples=samples), MESSAGE)
+        answers = exchange.toured(pairs, "bucket", mails, partial(_answer_pairs, word_bits=word_bits, samples=samples), MESSAGE)
         last = partial(_finish, word_bits=word_bits, bits=bits, total=total, distinct=distinct, id_col=id_col)
         schema = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
         return common.written(exchange.toured(slices, "slice", [numbered, answers], last, schema))
