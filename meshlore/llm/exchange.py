@@ -1,10 +1,12 @@
 """Packed questions and answers between slices of a corpus and buckets of hashed keys.
 
 A slice asks about its distinct 64-bit keys and sends a few numbers with each; all
-entries of a key meet in the bucket of the key's upper bits, where a function sees
-them together and answers each entry.  The answers come back in the order of the
-slice's sorted keys.  What travels are compressed arrays, not rows: one row for
-each slice and bucket that share keys.
+entries of a key meet in one bucket, where a function sees them together and answers
+each entry.  The answers come back in the order of the entries.  What travels are
+compressed arrays: one message for each slice and bucket that share keys, so never
+more messages than entries.  With slices and buckets of fixed size messages get
+smaller as the corpus grows; from some hundred TB on they hold few entries each, and
+traffic nears that of a plain shuffle of the entries.
 
 Keys are uniform hashes, and a slice has each of its keys once, so buckets are
 even however often a key occurs in the corpus.
@@ -39,8 +41,6 @@ MESSAGE = "receiver bigint, sender bigint, payload binary"
 #: What arrived for one receiver: senders, ascending, with their arrays.
 Mail = list[tuple[int, Arrays]]
 
-QUESTION = "bucket int, slice bigint, payload binary"
-
 
 def buckets_for(entries: int) -> int:
     """A power of two (the exponent) so that buckets have about ``BUCKET_ENTRIES``."""
@@ -90,85 +90,6 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]
         yield held
 
 
-def sent(number: int, asked: Arrays, bits: int) -> Iterator[pa.RecordBatch]:
-    """A slice's question as rows (bucket, slice, payload)."""
-    key = asked["key"]
-    if len(key):
-        bucket = key >> np.uint64(64 - bits) if bits else np.zeros(len(key), np.uint64)
-        cut = np.append(np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1))), len(key))
-        own = [pack({n: a[low:high] for n, a in asked.items()}) for low, high in zip(cut[:-1], cut[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array([number] * len(own), pa.int64()), pa.array(own, pa.binary())], ["bucket", "slice", "payload"])
-
-
-def questions(slices: DataFrame, question: Callable[[Arrays], Arrays], bits: int) -> DataFrame:
-    """What each slice asks of its state: sorted distinct keys (``key``) and arrays beside them."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield from sent(batch.column("slice")[i].as_py(), question(unpack(batch.column("state")[i].as_py())), bits)
-
-    return slices.select("slice", "state").transform(common.arrow(send, QUESTION))
-
-
-def answers(asked: DataFrame, answer: Callable[[np.ndarray, np.ndarray, Arrays], tuple[Arrays, list[float]]], bits: int) -> DataFrame:
-    """(slice, bucket, payload, totals): the answers to the questions of all slices.
-
-    ``answer`` gets a bucket's distinct keys, for each entry the index of its key,
-    and the entries' arrays; it gives arrays for the entries, and numbers of the
-    bucket, which come with its first row (null with the others).
-    """
-
-    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, "bucket"):
-            parts = [unpack(r["payload"]) for r in rows]
-            merged = {n: np.concatenate([a[n] for a in parts]) for n in parts[0]}
-            keys, entry = np.unique(merged.pop("key"), return_inverse=True)
-            given, totals = answer(keys, entry, merged)
-            cut = np.cumsum([0, *(len(a["key"]) for a in parts)]).tolist()
-            payloads = [pack({n: a[low:high] for n, a in given.items()}) for low, high in zip(cut[:-1], cut[1:], strict=True)]
-            first = [totals] + [None] * (len(rows) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array([r["slice"] for r in rows], pa.int64()), pa.array([r["bucket"] for r in rows], pa.int32()), pa.array(payloads, pa.binary()), pa.array(first, pa.list_(pa.float64()))], ["slice", "bucket", "payload", "totals"])
-
-    parts = max(1, 1 << bits)
-    return asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "slice").transform(common.arrow(reply, "slice bigint, bucket int, payload binary, totals array<double>"))
-
-
-def stored(slices: DataFrame) -> DataFrame:
-    """``slices`` as a table in the shared folder, bucketed by slice: visits don't shuffle it."""
-    spark = slices.sparkSession
-    name = f"meshlore_slices_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices.write.format("parquet").option("path", f"{common.checkpoint_dir(spark)}/{name}").bucketBy(parts, "slice").saveAsTable(name)
-    return spark.table(name)
-
-
-def visit(slices: DataFrame, tables: list[DataFrame], visitor: Callable[[int, Arrays, list[Arrays]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """What ``visitor`` makes of each slice, its state and its answers in the order of its sorted keys."""
-    rows = None
-    for k, table in enumerate(tables):
-        part = table.select("slice", F.lit(k).alias("kind"), "bucket", "payload")
-        rows = part if rows is None else rows.unionAll(part)
-    kinds = len(tables)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind, bucket = right.column("kind").to_numpy(), right.column("bucket").to_numpy()
-        order = np.lexsort((bucket, kind))
-        payloads = right.column("payload")
-        found: list[list[Arrays]] = [[] for _ in range(kinds)]
-        for i in order.tolist():
-            found[kind[i]].append(unpack(payloads[i].as_py()))
-        merged = [{n: np.concatenate([a[n] for a in part]) for n in part[0]} if part else {} for part in found]
-        out = []
-        for i in range(left.num_rows):
-            out += visitor(left.column("slice")[i].as_py(), unpack(left.column("state")[i].as_py()), merged)
-        common.release_memory()
-        return pa.Table.from_batches(out, empty) if out else empty.empty_table()
-
-    empty = to_arrow_schema(_parse_datatype_string(schema))
-    return slices.select("slice", "state").groupBy("slice").cogroup(rows.groupBy("slice")).applyInArrow(run, schema)
-
-
 def mail(sender: int, to: np.ndarray, arrays: Arrays) -> Iterator[pa.RecordBatch]:
     """Messages (see ``MESSAGE``): the entries of ``arrays`` cut where ``to``, which ascends, changes."""
     if len(to):

@@ -339,16 +339,55 @@ def test_pack():
     assert all((a[k] == b[k]).all() and a[k].dtype == b[k].dtype for k in a)
 
 
-def test_substring_dedup(spark):
-    shared = prose(777, 90)
-    docs = [(i, prose(i, 200)) for i in range(12)]
-    docs += [(50, prose(50, 80) + " " + shared + " " + prose(51, 80)), (51, prose(52, 33) + " x " + shared + " " + prose(53, 60)), (52, shared), (53, None), (54, ""), (None, shared)]
-    docs += [(60, docs[3][1])]
-    got = {r.doc_id: r for r in substring_dedup.repeats(frame(spark, docs)).collect()}
-    assert set(got) == {51, 52, 60, None} and got[51].kept_in == [50] and got[60].kept_in == [3]
-    text = docs[13][1]
-    left = substring_dedup.without_spans(text, [(s.start, s.end) for s in got[51].spans])
-    assert len(left) < len(text) - 0.6 * len(shared) and left.startswith(prose(52, 30)[:50])
+def plain_repeats(rows, n=50):
+    """For each id its words inside passages of n words or more that a document of a smaller id has."""
+    grams = {}
+    for i, t in rows:
+        w = (t or "").split()
+        for k in range(len(w) - n + 1):
+            g = tuple(w[k : k + n])
+            grams[g] = min(grams.get(g, i), i)
+    out = {}
+    for i, t in rows:
+        w = (t or "").split()
+        inside = {k + j for k in range(len(w) - n + 1) if grams[tuple(w[k : k + n])] < i for j in range(n)}
+        if inside:
+            out[i] = (len(inside), " ".join(x for k, x in enumerate(w) if k not in inside))
+    return out
+
+
+def test_substring_dedup_against_brute_force(spark):
+    r = random.Random(4)
+    passages = [prose(900 + k, n) for k, n in enumerate([40, 48, 49, 50, 50, 51, 52, 53, 60, 75, 120, 300])]
+    rows = []
+    for i in range(150):
+        parts = [prose(i, r.randrange(5, 60))]
+        for _ in range(r.randrange(3)):
+            parts += [f"before{i}.{len(parts)}", r.choice(passages), f"after{i}.{len(parts)}", prose(5000 + r.randrange(10**6), r.randrange(1, 30))]
+        rows.append((i, " ".join(parts)))
+    rows += [(200, rows[3][1]), (201, "odd" + passages[5]), (202, passages[3] + "odd " + passages[6]), (203, passages[9][10:]), (204, passages[9]), (205, None), (206, "")]
+    rows += [(300, prose(1, 8000)), (301, prose(2, 100) + " " + prose(1, 8000)[3000:9000])]
+    want = plain_repeats(rows)
+    docs = frame(spark, rows, parts=5)
+    got = {x.doc_id: x for x in substring_dedup.repeats(docs).collect()}
+    assert {i: x.repeated_words for i, x in got.items()} == {i: n for i, (n, _) in want.items()}
+    clash = docs.withColumn("spans", F.lit("spans")).withColumn("row", F.lit(1)).withColumn("id", F.lit(2)).withColumn("sha", F.lit(3))
+    left = substring_dedup.deduplicated(clash)
+    assert left.columns == clash.columns
+    assert {x.doc_id: " ".join((x.text or "").split()) for x in left.collect()} == {i: want[i][1] if i in want else " ".join((t or "").split()) for i, t in rows}
+
+
+def test_substring_dedup_of_odd_rows(spark):
+    text = prose(50, 400)
+    rows = [(1, text), (1, text), (None, text), (None, prose(51, 100)), (None, prose(51, 100)), (7, "z" * 300_000), (8, "z" * 300_000 + " " + text)]
+    got = {x.doc_id: x.repeated_words for x in substring_dedup.repeats(frame(spark, rows)).collect()}
+    assert got == {None: 400, 8: 400}
+    assert substring_dedup.deduplicated(frame(spark, rows)).count() == len(rows) and substring_dedup.deduplicated(frame(spark, [])).count() == 0
+    with pytest.raises(TypeError, match="integer"):
+        substring_dedup.repeats(frame(spark, rows).withColumn("doc_id", F.lit("a")))
+
+
+def test_no_repeats(spark):
     assert substring_dedup.repeats(frame(spark, [])).count() == 0
 
 
