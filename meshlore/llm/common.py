@@ -85,13 +85,18 @@ def crc_mod(column: Column, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+#: Longer texts aren't taken into a sample that models are fitted on, so a sample is bounded in bytes.
+SAMPLE_CHARS = 1 << 20
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, folds: int = 5) -> list[tuple[int, str, int]]:
     """Up to ``bound`` labelled rows of the training folds, half of each class.
 
     Rows of fold 0 (crc32 of the id as text modulo ``folds``) are never taken.
     Of each class the rows with the smallest hash of their id are taken, so the
     sample does not depend on partitioning.  Only the ids are broadcast, and
-    there are at most ``bound`` of them; texts that repeat count once.
+    there are at most ``bound`` of them; of rows that repeat an id one is taken,
+    texts that repeat count once, and texts beyond ``SAMPLE_CHARS`` not at all.
     Returns (doc_id, text, label) sorted by hash.
     """
     ranked = (
@@ -110,7 +115,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     ids = spark.createDataFrame([(r["doc_id"], r["__y"]) for r in picked], "doc_id bigint, __y int")
     rows = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+        .where(F.length("text") <= SAMPLE_CHARS)
         .join(F.broadcast(ids), "doc_id")
+        .groupBy("doc_id", "__y")
+        .agg(F.min("text").alias("text"))
         .collect()
     )
     first: dict[str, tuple[int, str, int]] = {}

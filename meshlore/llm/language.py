@@ -12,14 +12,15 @@ suffix of its address, and what languages its host's other pages are in.
    count is taken out of what is used for it.
 4. The final posterior is proportional to the product of all four.
 
-Bound: ``SAMPLE`` texts at most (smallest hash of the id) are read to learn the
-n-gram models.  Counts, priors and posteriors cover all pages.
+Bound: ``SAMPLE`` texts at most (smallest hash of the id), of ``common.SAMPLE_CHARS``
+characters at most, are read to learn the n-gram models.  Counts, priors and posteriors cover all pages.
 
 Defined cases: a page with null or empty markup has no text evidence and no
 declared language; a null or unreadable address has no host and no suffix.
 Missing evidence leaves the posterior to the rest.  Declared languages count by
 their primary subtag in lower case.  Ties go to the language first in the
-alphabet.  Without texts of known language the result is empty languages.
+alphabet.  Rows that repeat are pages of their own; other columns are not read.
+Without texts of known language the result is empty languages.
 """
 
 from __future__ import annotations
@@ -48,19 +49,55 @@ EVIDENCE = 20
 #: Pseudo-counts: of a host towards its domain, of a domain towards all, of a declared language or suffix.
 HOST_WEIGHT, DOMAIN_WEIGHT, VALUE_WEIGHT = 5.0, 20.0, 1.0
 
-_SILENT = re.compile(r"(?is)<!--.*?-->|<(script|style|nav|header|footer|aside|noscript)\b.*?</\1\s*>|<div class=\"ad\".*?</div\s*>")
-_TAG = re.compile(r"(?s)<[^>]*>")
-_DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,8})")
-
-
-def visible_text(html: str) -> str:
-    """The text of a page's markup without scripts, navigation and advertisements."""
-    return unescape(_TAG.sub(" ", _SILENT.sub(" ", html)))
-
-
-def declared_language(html: str) -> str | None:
-    found = _DECLARED.search(html[: 1 << 16]) or _DECLARED.search(html)
-    return found[1].lower() if found else None
+#: Elements whose content isn't the page's text, and classes of those that are advertisements.
+SILENT = ("script", "style", "nav", "header", "footer", "aside", "noscript")
+ADVERTISED = ("ad", "ads", "advert", "advertisement", "banner", "sponsored")
+
+_NAME = re.compile(r"<([A-Za-z][A-Za-z0-9]*)")
+_LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?([a-z]{2,8})")
+_CLASS = re.compile(r"(?i)\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_CLOSING = {name: re.compile(rf"(?i)</{name}\s*>") for name in (*SILENT, "div")}
+
+
+def scanned(html: str) -> tuple[str, str | None]:
+    """The text of a page without scripts, navigation and advertisements, and the language it declares.
+
+    One pass: what is known to be missing from here on isn't looked for again.
+    """
+    out, declared, missing, at = [], None, set(), 0
+    while (begin := html.find("<", at)) >= 0:
+        out.append(html[at:begin])
+        if "--" not in missing and html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4)
+            if end >= 0:
+                out.append(" ")
+                at = end + 3
+                continue
+            missing.add("--")
+        end = html.find(">", begin + 1)
+        if end < 0:
+            at = begin
+            break
+        out.append(" ")
+        at = end + 1
+        name = _NAME.match(html, begin)
+        name = name[1].lower() if name else ""
+        if name == "html" and declared is None:
+            found = _LANG.search(html, begin, end)
+            declared = found[1].lower() if found else None
+        if name not in missing and (name in SILENT or (name == "div" and _is_advertised(html, begin, end))):
+            found = _CLOSING[name].search(html, at)
+            if found:
+                at = found.end()
+            else:
+                missing.add(name)
+    out.append(html[at:])
+    return unescape("".join(out)), declared
+
+
+def _is_advertised(html: str, begin: int, end: int) -> bool:
+    found = _CLASS.search(html, begin, end)
+    return bool(found) and any(x in ADVERTISED for x in (found[1] or found[2] or found[3] or "").lower().split())
 
 
 def address(url: str | None) -> tuple[str | None, str | None, str | None]:
@@ -123,13 +160,15 @@ def _ngrams(block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fitted(docs: DataFrame, bound: int = SAMPLE) -> TextModel:
-    """N-gram models from up to ``bound`` texts of known ``lang``."""
-    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()
+    """N-gram models from up to ``bound`` texts of known ``lang``, one for each id, of ``common.SAMPLE_CHARS`` at most."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) <= common.SAMPLE_CHARS))
+    ids = known.groupBy("doc_id").agg(F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(bound).select("doc_id").collect()
     if not ids:
         return TextModel([], np.zeros((0, 1 << BUCKET_BITS)))
-    wanted = docs.sparkSession.createDataFrame(sorted({(r["doc_id"],) for r in ids}), "doc_id bigint")
-    rows = docs.where("lang IS NOT NULL").select("doc_id", "lang", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id").collect()
-    return TextModel.learn([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))])
+    wanted = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in ids], "doc_id bigint")
+    rows = known.select("doc_id", F.struct("lang", F.coalesce(F.col("text"), F.lit("")).alias("text")).alias("own")).join(F.broadcast(wanted), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("own").alias("own")).select("doc_id", "own.lang", "own.text").collect()
+    return TextModel.learn([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
 def evidence(pages: DataFrame, model: TextModel, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -139,10 +178,10 @@ def evidence(pages: DataFrame, model: TextModel, id_col: str, url_col: str, html
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                html = [h or "" for h in part.column("html").to_pylist()]
-                likelihood, n = model.likelihoods([visible_text(h) for h in html])
+                texts, declared = zip(*(scanned(h or "") for h in part.column("html").to_pylist()), strict=True)
+                likelihood, n = model.likelihoods(list(texts))
                 host, domain, suffix = zip(*(address(u) for u in part.column("url").to_pylist()), strict=True)
-                strings = [pa.array(x, pa.string()) for x in (host, domain, suffix, [declared_language(h) for h in html])]
+                strings = [pa.array(x, pa.string()) for x in (host, domain, suffix, declared)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *strings, pa.array(n.astype(np.int64)), pa.array(likelihood.tolist(), pa.list_(pa.float64()))], ["id", "host", "domain", "suffix", "declared", "n_grams", "likelihood"])
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
@@ -170,7 +209,8 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     found = common.written(evidence(pages, model, id_col, url_col, html_col))
     if not n:
         return found.select(F.col("id").alias(id_col), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_lang"), "declared", "suffix", "host", "n_grams")
-    rows = found.withColumn("soft", _softmax(F.col("likelihood")))
+    # A page without text says nothing of its host.
+    rows = found.withColumn("soft", F.when(F.col("n_grams") > 0, _softmax(F.col("likelihood"))).otherwise(F.array_repeat(F.lit(0.0), n)))
     everything = _sums(rows, None, n, "all").first()["all"]
     total = sum(everything) + n
     base = [(x + 1.0) / total for x in everything]
@@ -185,7 +225,7 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     hosts = rows.where("host IS NOT NULL").groupBy("host").agg(F.first("domain").alias("domain"), *[F.sum(F.col("soft")[k]).alias(f"__{k}") for k in range(n)])
     hosts = hosts.select("host", "domain", F.array(*[f"__{k}" for k in range(n)]).alias("host_counts"))
     domains = _sums(rows, "domain", n, "domain_counts")
-    hosts = common.durable(hosts.join(domains, "domain").drop("domain"))
+    hosts = common.durable(common.salted_left_join(hosts, domains, "domain").drop("domain"))
     joined = common.salted_left_join(rows, hosts, "host")
     for value in ("declared", "suffix"):
         joined = common.salted_left_join(joined, common.durable(_sums(rows, value, n, f"{value}_counts")), value)

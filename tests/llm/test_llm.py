@@ -315,6 +315,55 @@ def test_language(spark):
     assert language.identify(spark.createDataFrame(pages, "page_id bigint, url string, html string"), empty).where("lang IS NULL").count() == len(pages)
 
 
+def test_language_against_brute_force(spark):
+    r = random.Random(6)
+    german = "der die und nicht ein zeit haus schnee mit dem".split()
+    text = lambda lang, n: prose(r.randrange(10**6), n) if lang == "en" else " ".join(r.choice(german) for _ in range(n))
+    model = language.fitted(frame(spark, [(i, text("en" if i % 2 else "de", 60), "en" if i % 2 else "de") for i in range(40)]))
+    pages = []
+    for i in range(120):
+        lang, host = r.choice(["en", "de"]), r.choice(["a.one.de", "b.one.de", "c.two.com", "two.com", None])
+        mark = r.choice(["", f' lang="{lang}"', " lang=en-GB"])
+        pages.append((i, host and f"http://{host}/{i}", f"<html{mark}><p>{text(lang, r.choice([0, 1, 3, 40]))}</p></html>"))
+    pages.append((7, pages[7][1], pages[7][2]))
+    got = sorted((x.page_id, x.lang, x.probability) for x in language.identify(spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("host", F.lit(1)), model).collect())
+    seen = []
+    for i, url, html in pages:
+        words_of, declared = language.scanned(html)
+        like, n = model.likelihoods([words_of])
+        soft = np.exp(like[0] - like[0].max())
+        seen.append((i, *language.address(url), declared, like[0], soft / soft.sum() if n[0] else np.zeros(2)))
+    everything = sum(x[6] for x in seen)
+    total = everything.sum() + 2
+    want = []
+    for i, host, domain, suffix, declared, like, own in seen:
+        by = lambda k, value: sum((x[6] for x in seen if value is not None and x[k] == value), np.zeros(2))  # noqa: B023, E731
+        prior = (everything + 1) / total
+        for counts, weight in ((by(2, domain), language.DOMAIN_WEIGHT), (by(1, host), language.HOST_WEIGHT)):
+            less = np.maximum(counts - own, 0)
+            prior = (less + prior * weight) / (less.sum() + weight)
+        logs = like + np.log(prior)
+        for k, value in ((4, declared), (3, suffix)):
+            if value is not None:
+                less = np.maximum(by(k, value) - own, 0)
+                logs = logs + np.log((less + language.VALUE_WEIGHT * (less.sum() + 1) / (total + 1)) / (everything + language.VALUE_WEIGHT))
+        p = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        want.append((i, model.languages[int(p.argmax())], p.max()))
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in sorted(want)], rel=1e-6)
+
+
+def test_markup_is_scanned_once():
+    import time
+
+    begin = time.perf_counter()
+    for piece in ("<script ", "<script>", "<!-- ", "<", "<html ", "<div class='ad'>", "</nav ", "<html lang", "&amp"):
+        language.scanned(piece * 300_000)
+    assert time.perf_counter() - begin < 20
+    assert language.scanned("<HTML xml:lang='de-AT'><!-- a < b --><script>x<y</Script >eins<NAV>two</nav><div class=\"x ad\">three</div> vier &lt; <b>five")[1] == "de"
+    assert language.scanned("<script>x<y</script>eins<nav>two</nav><div class='ad'>three</div>vier<header>open")[0].split() == ["eins", "vier", "open"]
+
+
 def test_pitman_yor_counts_and_probabilities(spark):
     import zlib
 
