@@ -13,7 +13,8 @@ bounded cache; the cache changes the speed only.
 Defined cases: a null text counts as empty and gives no ids.  The string of an
 added token is that token wherever it stands.  Decoding replaces invalid UTF-8
 by U+FFFD; ids outside the vocabulary are skipped.  Texts of any length are
-encoded whole.
+encoded whole.  A column of the name of a result (``ids``, ``decoded``) is replaced by
+it, all others go along.  A tokenizer file of another kind is refused.
 """
 
 from __future__ import annotations
@@ -45,6 +46,9 @@ _FIB = np.uint64(0x9E3779B97F4A7C15)
 #: Leaves of the segment trees that advance together (some MB of arrays).
 _LEAVES_AT_ONCE = 1 << 17
 
+#: Pieces of 2 ** ``_LONG_DEPTH`` bytes or more are merged one by one if fewer than ``_FEW_LONG`` are alike in length.
+_LONG_DEPTH, _FEW_LONG = 9, 24
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable character of the vocabulary file for every byte, by its rule."""
@@ -71,12 +75,24 @@ class Recent:
         self.young[key] = value
 
 
+def _refuse_others(spec: dict) -> None:
+    """Only what is done here: byte-level pre-tokens of the usual pattern, no normaliser, plain added tokens, plain merges."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
+        raise ValueError("not a plain byte-level tokenizer")
+    if model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("byte_fallback") or model.get("ignore_merges"):
+        raise ValueError("not a plain BPE model")
+    if any(t.get(flag) for t in spec.get("added_tokens", ()) for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens with flags")
+
+
 class ByteBPE:
     """A byte-level BPE tokenizer read from a ``tokenizers`` JSON file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _refuse_others(spec)
         alphabet = byte_alphabet()
         vocabulary = spec["model"]["vocab"]
         self.pieces: dict[int, bytes] = {i: bytes(alphabet[c] for c in token) for token, i in vocabulary.items() if all(c in alphabet for c in token)}
@@ -91,6 +107,7 @@ class ByteBPE:
             merges.setdefault(vocabulary[left] << 32 | vocabulary[right], rank)
             merged.append(vocabulary[left + right])
         self.merged = np.array(merged, dtype=np.int64)
+        self._merges, self._merged = merges, merged
         self._build_table(merges)
         self._pre = regex.compile(PATTERN)
         self._added = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
@@ -139,6 +156,10 @@ class ByteBPE:
         depth = np.ceil(np.log2(np.maximum(lengths - 1, 1))).astype(np.int64)
         for d in np.unique(depth).tolist():
             rows = np.flatnonzero(depth == d)
+            if d >= _LONG_DEPTH and len(rows) < _FEW_LONG:  # a round for so few pieces costs more than plain integers
+                for i in rows.tolist():
+                    out[i] = self._merge_long(pieces[i], d)
+                continue
             step = max(1, _LEAVES_AT_ONCE >> d)
             for at in range(0, len(rows), step):
                 self._merge_group(pieces, rows[at : at + step], lengths, d, out)
@@ -200,6 +221,48 @@ class ByteBPE:
             out[row] = flat[begin:end]
             begin = end
 
+    def _merge_long(self, piece: bytes, depth: int) -> bytes:
+        """The same for one long piece; a path is updated up to where its least stays."""
+        n, size, merges, merged = len(piece), 1 << depth, self._merges, self._merged
+        start = self.byte_ids[np.frombuffer(piece, dtype=np.uint8)]
+        leaves = np.full(2 * size, _NEVER, dtype=np.int64)
+        rank = self.ranks(start[:-1], start[1:])
+        leaves[size : size + n - 1] = np.where(rank == _NO_RANK, _NEVER, rank << 32 | np.arange(n - 1))
+        for level in range(depth - 1, -1, -1):
+            a = 1 << level
+            np.minimum(leaves[2 * a : 4 * a : 2], leaves[2 * a + 1 : 4 * a : 2], out=leaves[a : 2 * a])
+        tree, ids, after, before = leaves.tolist(), start.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        never = int(_NEVER)
+
+        def put(at: int, value: int) -> None:
+            at += size
+            tree[at] = value
+            while at > 1:
+                value, other = tree[at], tree[at ^ 1]
+                at >>= 1
+                value = min(value, other)
+                if tree[at] == value:
+                    return
+                tree[at] = value
+
+        while (least := tree[1]) != never:
+            at = least & 0xFFFFFFFF
+            new, gone = merged[least >> 32], after[at]
+            right, left = after[gone], before[at]
+            ids[at], ids[gone], after[at] = new, -1, right
+            if gone < size:
+                put(gone, never)
+            if right < n:
+                before[right] = at
+                rank = merges.get(new << 32 | ids[right])
+                put(at, never if rank is None else rank << 32 | at)
+            else:
+                put(at, never)
+            if left >= 0:
+                rank = merges.get(ids[left] << 32 | new)
+                put(left, never if rank is None else rank << 32 | left)
+        return np.array([i for i in ids if i >= 0], dtype="<u4").tobytes()
+
     def _fill(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of distinct pre-tokens: remembered ones, and the rest merged together."""
         known = self._pretokens

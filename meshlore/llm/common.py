@@ -21,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set."""
+    """The cluster's shared folder; where none is set a temporary one on a single machine, and else one in the warehouse."""
     context = spark.sparkContext
     known = context.getCheckpointDir()
     if not known:
-        known = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meshlore-")
+        known = spark.conf.get("spark.checkpoint.dir", None)
+        if not known:
+            alone = context.master.startswith("local") and not context.master.startswith("local-cluster")
+            known = tempfile.mkdtemp(prefix="meshlore-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_meshlore"
         context.setCheckpointDir(known)
     return known
 

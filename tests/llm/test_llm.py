@@ -84,7 +84,7 @@ def test_bpe_against_library(spark):
     own, library = bpe.tokenizer(path), Tokenizer.from_file(path)
     r = random.Random(5)
     alphabet = ["a", "B", "é", " ", "  ", "\n", "'s", "'ll", "1", "½", "漢", "😀", "\xa0", "\x85", "\x1c", ".", "<|endoftext|>", "_", "́", "\x00", "ther", "tion"]
-    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 14))) for _ in range(3000)] + ["z" * 3000, "ab" * 2000, prose(1, 500)]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 14))) for _ in range(3000)] + ["".join(r.choice("etaoinshrdlu") for _ in range(n)) for n in (513, 514, 1025, 20_000)] + ["z" * 3000, "ab" * 2000, prose(1, 500)]
     for text, ids in zip(texts, own.encode_many(texts), strict=True):
         want = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want, text
@@ -501,6 +501,57 @@ def test_pipeline_stages(spark):
     assert len({r.doc_id for r in out}) == len(out) < docs.count() and all(r.round_trip for r in out)
 
 
+def test_pipeline_keeps_what_brute_force_keeps(spark, tmp_path):
+    """Every stage on a fixture, against a plain version of it on the stage's own input."""
+    import corpus_pipeline
+
+    base, labels = labelled(400)
+    items = [(i, prose(7000 + i, 20 + i)) for i in range(6)]
+    rows = list(base)
+    rows += [(1000 + i, rows[i][1].replace(" ", "  ") if i % 2 else rows[i][1]) for i in range(0, 40)]
+    near = prose(8000, 150).split()
+    rows += [(1100 + k, " ".join(f"other{k}" if j == 7 * k % 150 else w for j, w in enumerate(near))) for k in range(25)]
+    rows += [(1200 + i, prose(8100 + i, 30) + " " + items[i % 6][1].upper() + " " + prose(8200 + i, 30)) for i in range(18)]
+    rows += [(1300, None), (1301, ""), (1301, ""), (1302, "x"), (1303, "q " * 20_000)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages, kept, docs = dict(corpus_pipeline.STAGES), {}, spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"stage{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        kept[name] = docs.collect()
+    ids = {name: sorted(r.doc_id for r in own) for name, own in kept.items()}
+    text = {name: {r.doc_id: r.text or "" for r in own} for name, own in kept.items() if name != "BPE"}
+
+    toxic = {i for i, _, t in labels if t}
+    gone = {i for i, _ in rows} - set(ids["toxicity"])
+    # A copy of a toxic text is toxic too; a text that another has copied has the copy's judgement.
+    assert len(gone ^ (toxic | {1000 + i for i in toxic if i < 40})) <= 4
+
+    norm = lambda t: re.sub(r"[\x20\x09-\x0d]+", " ", t)
+    first = {}
+    for i in ids["toxicity"]:
+        first.setdefault(norm(text["toxicity"][i]), i)
+    assert ids["exact dedup"] == sorted(first.values())
+
+    own = text["exact dedup"]
+    sets = {i: shingle_set(t) for i, t in own.items()}
+    group = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    assert ids["n-gram Jaccard join"] == sorted(set(group.values())) and len(set(group.values())) < len(group) - 20
+
+    own = text["n-gram Jaccard join"]
+    clean = sorted(i for i, t in own.items() if len(t) > 10_000 or not any(plain_overlaps(t, u) for _, u in items))
+    assert ids["benchmark decontamination"] == clean and len(clean) < len(own) - 15
+
+    assert ids["BPE"] == clean and all(r.round_trip for r in kept["BPE"]) and stages.keys() == kept.keys()
+
+
 def test_every_query_has_its_columns(spark):
     assert sorted(queries.QUERIES) == sorted({f"op{n}_{x}" for n, x in [(1, "language_id"), (2, "pitman_yor"), (3, "substring_dedup"), (4, "quality"), (5, "decontamination"), (6, "training_order"), (7, "exact_dedup"), (8, "toxicity"), (9, "bpe"), (10, "jaccard_join")]})
     want = {"op2_pitman_yor": {"held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"}, "op4_quality": {"held_out", "score", "predicted"}, "op7_exact_dedup": {"keep_id", "group_size", "kept", "text_sha256"}, "op8_toxicity": {"held_out", "score", "predicted"}, "op9_bpe": {"n_tokens", "ids_sha256", "decoded_sha256"}}
