@@ -31,6 +31,24 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A durable copy of ``df``, marked for broadcast only if it has few rows; otherwise the join shuffles."""
+    """A durable copy of ``df``, marked for broadcast only if it has few rows and few bytes; otherwise the join shuffles."""
     kept = durable(df)
-    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+    if kept.limit(rows + 1).count() > rows:
+        return kept
+    wide = [F.coalesce(F.size(c), F.lit(0)) if t.startswith("array") else F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c, t in kept.dtypes if t.startswith("array") or t in ("string", "binary")]
+    if wide and (kept.agg(F.sum(sum(wide[1:], wide[0])).alias("n")).first()["n"] or 0) > 16 * rows:
+        return kept
+    return F.broadcast(kept)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` dealt by columns over as many partitions as a join of it needs tasks, however few its bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *columns)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """Inner join with at most one row of ``right`` per key, where one key may hold most of ``left``."""
+    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [key, "__salt"]).drop("__salt")

@@ -21,9 +21,9 @@ def _pred_steps(world: World) -> DataFrame:
     return world.change_edges.join(kept, "pred", "left_semi").select(F.col("succ").alias("a"), F.col("pred").alias("b"))
 
 
-def causal_ancestors(world: World, target: int) -> DataFrame:
-    """(change_id, depth); the target left out, trimmed predecessors skipped."""
-    return frontier_loop(_pred_steps(world), [target]).where("depth > 0").select(F.col("node").alias("change_id"), "depth")
+def causal_ancestors(world: World, target: int | Iterable[int] | DataFrame) -> DataFrame:
+    """(change_id, depth) of what led to the targets, these left out; trimmed predecessors skipped."""
+    return frontier_loop(_pred_steps(world), [target] if isinstance(target, int) else target).where("depth > 0").select(F.col("node").alias("change_id"), "depth")
 
 
 def causal_descendants(world: World, roots: int | Iterable[int] | DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable
 from ..world import World
 from . import causality
 
@@ -32,23 +33,19 @@ def cause_seed_changes(world: World, rels: list[int], before: int) -> DataFrame:
 
 
 def entity_upstream_transitions(world: World, entity: int, batch: int) -> DataFrame:
-    """(entity_id, batch, transition) of other entities whose last layer before the batch has a locus among the causes.
+    """(entity_id, batch): other entities, each with its latest layer before the batch that has a locus among the causes.
 
-    The result ends at ``UPSTREAM_LIMIT`` rows, least id first: the limit belongs to the query.
+    The causes are the seeds and all their ancestors, by one search.  The result ends
+    at ``UPSTREAM_LIMIT`` rows, least id first: the limit belongs to the query.
     """
     cause = entity_transition_cause(world, entity, batch).select("cause").first()
     rels = list(cause["cause"]["rels"] or []) if cause and cause["cause"] else []
-    seeds = [r["change_id"] for r in cause_seed_changes(world, rels, batch).collect()]
-    if not seeds:
-        return world.entity_layers.select("entity_id", "batch", "transition").limit(0)
-    found = None
-    for s in seeds:
-        part = causality.causal_ancestors(world, s).select("change_id")
-        found = part if found is None else found.unionAll(part)
-    loci = world.locus_changes().join(found.distinct(), "change_id", "left_semi").select(F.col("subject_id").alias("locus_id")).distinct()
-    layers = layers_at(world, batch - 1).where((F.col("entity_id") != entity) & (F.size("members") > 0))
-    hit = layers.select("entity_id", "batch", "transition", F.explode("members").alias("locus_id")).join(loci, "locus_id", "left_semi")
-    return hit.select("entity_id", "batch", "transition").distinct().orderBy("entity_id").limit(UPSTREAM_LIMIT)
+    seeds = durable(cause_seed_changes(world, rels, batch).select(F.col("change_id").alias("node")))
+    found = seeds.unionAll(causality.causal_ancestors(world, seeds).select("change_id"))
+    loci = world.locus_changes().join(found.select(F.col("node").alias("change_id")).distinct(), "change_id", "left_semi").select(F.col("subject_id").alias("locus_id")).distinct()
+    layers = world.entity_layers.where((F.col("entity_id") != entity) & (F.col("batch") < batch) & (F.col("compression") != "Skeleton"))
+    hit = layers.select("entity_id", "batch", F.explode("members").alias("locus_id")).join(loci, "locus_id", "left_semi")
+    return hit.groupBy("entity_id").agg(F.max("batch").alias("batch")).orderBy("entity_id").limit(UPSTREAM_LIMIT)
 
 
 def entity_deviations_since(world: World, baseline: int) -> DataFrame:
@@ -173,12 +170,14 @@ def prescribe_updates(world: World, report: DataFrame, min_ghost_age: int = 5, m
 
 def apply_prescriptions(world: World, actions: DataFrame) -> World:
     """The world with the retractions marked and the assertions added as ``inferred_influence``."""
+    from ..streaming.engine import numbered
+
     now = version(world)
     gone = actions.where("action = 'retract'").select("fact_id", F.lit(True).alias("__gone"))
     kept = world.facts.join(gone, "fact_id", "left").withColumn("retracted_at", F.when(F.col("__gone") & F.col("retracted_at").isNull(), F.lit(now)).otherwise(F.col("retracted_at")).cast("bigint")).select(*world.facts.columns)
     top = world.facts.agg(F.coalesce(F.max("fact_id"), F.lit(-1))).first()[0]
     new = actions.where("action = 'assert'").select("subject", "object").distinct()
-    # A fact's id is its position in order of subject and object: a window over what is asserted at once.
-    number = F.row_number().over(Window.orderBy("subject", "object")).cast("bigint")
-    added = new.select((F.lit(top) + number).alias("fact_id"), "subject", F.lit("inferred_influence").alias("predicate"), "object", F.lit(now).cast("bigint").alias("asserted_at"), F.lit(None).cast("bigint").alias("retracted_at"))
+    # A fact's id is its position in order of subject and object, counted by ranges.
+    placed = numbered(new, [F.col("subject"), F.col("object")], top + 1, "fact_id")
+    added = placed.select(F.col("fact_id").cast("bigint").alias("fact_id"), "subject", F.lit("inferred_influence").alias("predicate"), "object", F.lit(now).cast("bigint").alias("asserted_at"), F.lit(None).cast("bigint").alias("retracted_at"))
     return world.with_tables(facts=kept.unionByName(added))

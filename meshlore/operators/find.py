@@ -417,9 +417,10 @@ def entities(world: World) -> EntitiesQuery:
 
 
 def coheres(world: World, perspective: str | None = None) -> CohereQuery:
-    """The coheres of a perspective's latest batch, or of all perspectives."""
-    rows = world.coheres if perspective is None else world.coheres.where(F.col("perspective") == perspective)
-    return CohereQuery(world, rows)
+    """The coheres of a perspective's latest batch, or of each perspective's."""
+    latest = world.coheres.groupBy("perspective").agg(F.max("batch").alias("batch"))  # a few perspectives
+    rows = world.coheres.join(latest, ["perspective", "batch"]).select(*world.coheres.columns)
+    return CohereQuery(world, rows if perspective is None else rows.where(F.col("perspective") == perspective))
 
 
 def most_similar_relationships(world: World, rel_id: int, n: int) -> DataFrame:

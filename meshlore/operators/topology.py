@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import broadcast_if_small, durable, spread
 from ..functions.vectors import strength
 from ..world import World
 
@@ -64,23 +65,34 @@ def undirected_pairs(world: World, value: Column | None = None, where: Column |
     return rows.where("src <> dst").groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.sum(strength() if value is None else value).alias("strength"))
 
 
-def all_triangles(world: World, where: Column | None = None) -> DataFrame:
-    """(a, b, c, s_ab, s_bc, s_ac) with a < b < c.
+def triangles_of(pairs: DataFrame) -> DataFrame:
+    """(x, p, q, xp, xq, pq): each triangle of ``pairs`` (u, v, value; u < v) once, with its pairs' values; p < q.
 
-    Each edge is directed from its end of lower degree (then lower id), so a
-    wedge starts where few edges are: a hub with d edges doesn't make d^2 rows.
+    Each pair is directed from its end of lower degree (then lower id), so a wedge
+    starts where few pairs are: a hub with d pairs doesn't make d^2 rows.
     """
-    pairs = undirected_pairs(world, where=where)
+    pairs = durable(pairs)
     ends = pairs.select(F.col("u").alias("n")).unionAll(pairs.select(F.col("v").alias("n"))).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
     ranked = pairs.join(ends.select(F.col("n").alias("u"), F.col("d").alias("du")), "u").join(ends.select(F.col("n").alias("v"), F.col("d").alias("dv")), "v")
     low = F.struct("du", "u") < F.struct("dv", "v")
-    arcs = ranked.select(F.when(low, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(low, F.col("v")).otherwise(F.col("u")).alias("y"), "strength")
-    wedge = arcs.select("x", F.col("y").alias("p"), F.col("strength").alias("s_xp")).join(arcs.select("x", F.col("y").alias("q"), F.col("strength").alias("s_xq")), "x").where("p < q")
-    closed = wedge.join(pairs.select(F.col("u").alias("p"), F.col("v").alias("q"), F.col("strength").alias("s_pq")), ["p", "q"])
-    # Sort the three corners; the strengths go along.
-    corner = F.array_sort(F.array(F.struct(F.col("x").alias("id"), F.col("s_pq").alias("far")), F.struct(F.col("p").alias("id"), F.col("s_xq").alias("far")), F.struct(F.col("q").alias("id"), F.col("s_xp").alias("far"))))
-    t = closed.select(corner.alias("t"))
-    return t.select(F.col("t")[0]["id"].alias("a"), F.col("t")[1]["id"].alias("b"), F.col("t")[2]["id"].alias("c"), F.col("t")[2]["far"].alias("s_ab"), F.col("t")[0]["far"].alias("s_bc"), F.col("t")[1]["far"].alias("s_ac"))
+    arcs = durable(ranked.select(F.when(low, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(low, F.col("v")).otherwise(F.col("u")).alias("y"), "value"))
+    # Few bytes of pairs may make many wedges, so the tasks are counted, not sized.
+    one = spread(arcs.select("x", F.col("y").alias("p"), F.col("value").alias("xp")), "x")
+    other = spread(arcs.select("x", F.col("y").alias("q"), F.col("value").alias("xq")), "x")
+    wedge = one.join(other, "x").where("p < q")
+    return wedge.join(broadcast_if_small(pairs.select(F.col("u").alias("p"), F.col("v").alias("q"), F.col("value").alias("pq"))), ["p", "q"])
+
+
+def all_triangles(world: World, where: Column | None = None) -> DataFrame:
+    """(a, b, c, s_ab, s_bc, s_ac) with a < b < c."""
+    t = triangles_of(undirected_pairs(world, where=where).withColumnRenamed("strength", "value"))
+    # The three corners in order; the strengths of the opposite sides go along.
+    first, last = F.col("x") < F.col("p"), F.col("x") > F.col("q")
+    pick = lambda low, high, middle: F.when(first, low).when(last, high).otherwise(middle)
+    return t.select(
+        pick(F.col("x"), F.col("p"), F.col("p")).alias("a"), pick(F.col("p"), F.col("q"), F.col("x")).alias("b"), pick(F.col("q"), F.col("x"), F.col("q")).alias("c"),
+        pick(F.col("xp"), F.col("pq"), F.col("xp")).alias("s_ab"), pick(F.col("pq"), F.col("xq"), F.col("xq")).alias("s_bc"), pick(F.col("xq"), F.col("xp"), F.col("pq")).alias("s_ac"),
+    )
 
 
 def triangle_balance(world: World, threshold: float, where: Column | None = None) -> DataFrame:

@@ -9,16 +9,18 @@ was counted small is searched by one task instead.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import broadcast_if_small, durable
+from ..durable import broadcast_if_small, durable, salted_join
 from ..world import World
 
-MOST_HOPS = 10_000
+#: Rounds after which components give up with an error; they take the logarithm of the longest path.
+MOST_ROUNDS = 100
 
 #: Steps (two integers each, 32 MB in all) up to which one task searches by itself: a
 #: graph so small isn't worth a job for every hop, however deep it is.
@@ -56,7 +58,7 @@ def frontier_loop(steps: DataFrame, starts: Iterable[int] | DataFrame, depth: in
             return _local_search(steps, first.select("node").distinct(), depth)
     frontier = durable(first.select("node").distinct().withColumn("depth", F.lit(0)))
     visited = frontier
-    for hop in range(1, (depth if depth is not None else MOST_HOPS) + 1):
+    for hop in count(1) if depth is None else range(1, depth + 1):
         near = broadcast_if_small(frontier.select(F.col("node").alias("a")))
         reached = steps.join(near, "a").select(F.col("b").alias("node")).distinct().join(visited, "node", "left_anti")
         frontier = durable(reached.withColumn("depth", F.lit(hop)))
@@ -116,24 +118,23 @@ def reachable_matching(world: World, start: int, depth: int, predicate: Column)
 def shortest_path(world: World, source: int, target: int, direction: str = "both", kind: int | None = None, min_activity: float | None = None) -> DataFrame:
     """One row (path, hops) with a shortest path, or none; of equal paths the least in order.
 
-    ``source = target`` gives [source] whether it exists or not.
+    ``source = target`` gives [source] whether it exists or not.  Distances to the
+    target are found backwards; the path then steps to the least neighbour that is
+    one nearer, so no join carries paths.
     """
     spark = world.spark
     if source == target:
         return spark.createDataFrame([([source], 0)], "path array<bigint>, hops int")
     steps = durable(arcs(world, direction, kind, min_activity).select("a", "b").where("a <> b").distinct())
-    frontier = spark.createDataFrame([(source, [source])], "node bigint, path array<bigint>")
-    visited = durable(frontier.select("node"))
-    for hop in range(1, MOST_HOPS):
-        step = steps.join(broadcast_if_small(frontier.withColumnRenamed("node", "a")), "a").join(visited.withColumnRenamed("node", "b"), "b", "left_anti")
-        frontier = durable(step.groupBy(F.col("b").alias("node")).agg(F.min(F.concat("path", F.array("b"))).alias("path")))
-        found = frontier.where(F.col("node") == target)
-        if not found.isEmpty():
-            return found.select("path", F.lit(hop).alias("hops"))
-        if frontier.isEmpty():
-            break
-        visited = durable(visited.unionAll(frontier.select("node")))
-    return spark.createDataFrame([], "path array<bigint>, hops int")
+    distance = durable(frontier_loop(steps.select(F.col("b").alias("a"), F.col("a").alias("b")), [target]))
+    found = distance.where(F.col("node") == source).select("depth").first()
+    if found is None:
+        return spark.createDataFrame([], "path array<bigint>, hops int")
+    path, hops = [source], found["depth"]
+    for left in range(hops - 1, -1, -1):
+        near = steps.where(F.col("a") == path[-1]).select(F.col("b").alias("node"))
+        path.append(near.join(distance.where(F.col("depth") == left), "node").agg(F.min("node").alias("n")).first()["n"])
+    return spark.createDataFrame([(path, hops)], "path array<bigint>, hops int")
 
 
 def strongest_path(world: World, source: int, target: int) -> DataFrame:
@@ -145,7 +146,7 @@ def strongest_path(world: World, source: int, target: int) -> DataFrame:
     steps = durable(arcs(world).where("a <> b").groupBy("a", "b").agg(F.min(cost).alias("step")))
     best = durable(spark.createDataFrame([(source, 0.0, [source])], "node bigint, cost double, path array<bigint>"))
     changed = best
-    for _ in range(MOST_HOPS):
+    while True:
         # Relax from what changed; a label beyond the target's can't improve it.
         bound = best.where(F.col("node") == target).agg(F.min("cost")).first()[0]
         live = changed if bound is None else changed.where(F.col("cost") < bound)
@@ -168,7 +169,7 @@ def components(world: World, kind: int | None = None, nodes: DataFrame | None =
     steps = arcs(world, kind=kind) if steps is None else steps
     edges = durable(steps.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(100):
+    for _ in range(MOST_ROUNDS):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _with_least(large)
@@ -177,6 +178,8 @@ def components(world: World, kind: int | None = None, nodes: DataFrame | None =
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components: no fixpoint in {MOST_ROUNDS} rounds")
     labels = edges.groupBy(F.col("u").alias("locus_id")).agg(F.min("v").alias("component"))
     nodes = world.loci.select("locus_id") if nodes is None else nodes
     everyone = nodes.unionAll(steps.select(F.explode(F.array("a", "b")).alias("locus_id"))).distinct()
@@ -185,21 +188,51 @@ def components(world: World, kind: int | None = None, nodes: DataFrame | None =
 
 def _with_least(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+    return salted_join(edges, least, "u")  # the root of a large component is one key
 
 
 def has_cycle(world: World) -> bool:
-    """Whether directed edges (self-loops too, symmetric ones not) form a cycle: peeling of sinks and sources."""
+    """Whether directed edges (self-loops too, symmetric ones not) form a cycle.
+
+    Loci without a way in or without a way out are peeled off, all at once in a
+    round; a graph counted small is peeled by one task, since it may be deep.
+    """
     edges = durable(world.relationships.where("directed").select("src", "dst").distinct())
-    while not edges.isEmpty():
-        size = edges.count()
+    size = edges.count()
+    if size <= LOCAL_STEPS:
+        return not edges.coalesce(1).mapInArrow(_cyclic_rest, "src bigint").isEmpty()
+    while size:
         left = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        edges = durable(left)
-        if edges.count() == size:
+        edges, before = durable(left), size
+        size = edges.count()
+        if size == before:
             return True
     return False
 
 
+def _cyclic_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One of the loci that are left after all without a way in have been peeled off."""
+    rows = [x for x in batches if x.num_rows]
+    if not rows:
+        return
+    table = pa.Table.from_batches(rows)
+    nodes, place = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("src", "dst")]), return_inverse=True)
+    a, b = np.split(place, 2)
+    order = np.argsort(a, kind="stable")
+    to, first = b[order], np.searchsorted(a[order], np.arange(len(nodes) + 1))
+    ways_in = np.bincount(b, minlength=len(nodes))
+    free, left = np.flatnonzero(ways_in == 0), len(nodes)
+    while len(free):
+        left -= len(free)
+        n = first[free + 1] - first[free]
+        reached = to[np.repeat(first[free] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        ways_in -= np.bincount(reached, minlength=len(nodes))
+        near = np.unique(reached)
+        free = near[ways_in[near] == 0]
+    if left:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[ways_in > 0][:1])], ["src"])
+
+
 def infer_transitive(world: World, source: int, target: int, kind: int, rule: str = "product") -> float | None:
     """Activity along one shortest directed path of a kind: product, min or mean of its steps; none for no path or one node."""
     found = shortest_path(world, source, target, "out", kind).first()

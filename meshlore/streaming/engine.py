@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import broadcast_if_small, durable
-from ..functions.vectors import activity, slot, stabilize, weight
+from ..functions.vectors import activity, slot, weight
 from ..world import World
 
 PENDING = "subject_type string, subject_id bigint, kind bigint, predecessors array<bigint>, after array<double>, wall_time bigint, metadata string"
@@ -43,7 +43,7 @@ class InfluenceKind:
     demote_floor: float | None = None
     demote_idle: int | None = None
     demote_capacity: int | None = None
-    applies_between: tuple[tuple[int, int], ...] = ()
+    applies_between: tuple[tuple[int, int], ...] = ()  # kinds of loci; a flow between others is noted as a violation
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,7 @@ class Program:
     to: tuple[int, ...] | None = None  # forward to these; none: accumulate in the locus itself
     only_locus: int | None = None
     custom: Callable | None = None  # pandas inbox of a locus -> rows (subject_id, kind, after)
-    refractory: int = 0
+    refractory: int = 0  # batches of a tick for which a locus of the kind rests after it fired
 
 
 @dataclass(frozen=True)
@@ -123,15 +123,22 @@ def flush_decay(world: World, engine: Engine) -> World:
 
 def demoted(world: World, engine: Engine) -> DataFrame:
     """(rel_id) that the kinds' policies demote: faint, idle, or beyond capacity by last use."""
-    from pyspark.sql import Window
-
     idle = F.lit(world.current_batch) - F.col("last_decayed_batch")
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("last_decayed_batch"), F.desc("rel_id")))
-    rows = world.edges.withColumn("__place", place)
     faint = F.abs("activity") < engine.per_kind("demote_floor", default=-1.0)
     rest = idle > engine.per_kind("demote_idle", default=1 << 60)
-    over = F.col("__place") > engine.per_kind("demote_capacity", default=1 << 60)
-    return rows.where(faint | rest | over).select("rel_id")
+    out = world.edges.where(faint | rest).select("rel_id")
+    for k in engine.kinds:
+        if k.demote_capacity is not None:  # numbered by ranges: a kind may hold most edges
+            own = world.relationships.where(F.col("kind") == k.kind).select("rel_id", "last_decayed_batch")
+            out = out.unionAll(numbered(own, [F.desc("last_decayed_batch"), F.desc("rel_id")], 1, "place").where(F.col("place") > k.demote_capacity).select("rel_id"))
+    return out.distinct()
+
+
+def without_demoted(world: World, engine: Engine) -> World:
+    """The world after its demotion policies; the edges stay in the store, if there is one."""
+    if all(k.demote_floor is None and k.demote_idle is None and k.demote_capacity is None for k in engine.kinds):
+        return world
+    return world.with_tables(relationships=durable(world.relationships.join(durable(demoted(world, engine)), "rel_id", "left_anti").select(*world.relationships.columns)))
 
 
 def commit_batch(world: World, engine: Engine, pending: DataFrame) -> tuple[World, DataFrame]:
@@ -212,15 +219,52 @@ def _emerge(world: World, engine: Engine, changes: DataFrame, batch: int) -> Wor
     )
     waiting = both.where("NOT __up").select("src", "dst", "directed", "kind", F.col("total").alias("signal"), F.col("since").alias("first_seen"), F.lit(batch).cast("bigint").alias("last_touched"), F.col("all_ids").alias("change_ids"))
     rest = world.pending_evidence.join(summed.select(*key), key, "left_anti").select(*waiting.columns)
-    return world.with_tables(relationships=kept.unionByName(born), pending_evidence=durable(rest.unionByName(waiting)))
-
-
-def dispatch(world: World, engine: Engine, changes: DataFrame) -> DataFrame:
-    """What programs propose after a batch: pending changes of the next one."""
+    after = world.with_tables(relationships=kept.unionByName(born), pending_evidence=durable(rest.unionByName(waiting)))
+    return _note_violations(after, engine, touched.join(source, "__p").where("src <> dst"), batch)
+
+
+def _note_violations(world: World, engine: Engine, flows: DataFrame, batch: int) -> World:
+    """Flows between kinds of loci that their kind isn't declared for: edges all the same, and an event each."""
+    allowed = [(k.kind, a, b) for k in engine.kinds for a, b in k.applies_between]
+    if not allowed:
+        return world
+    rules = F.broadcast(world.spark.createDataFrame(allowed, "kind bigint, from_kind bigint, to_kind bigint"))
+    ends = [world.loci.select(F.col("locus_id").alias(end), F.col("kind").alias(name)) for end, name in (("src", "from_kind"), ("dst", "to_kind"))]
+    bad = flows.where(F.col("kind").isin(*{k for k, *_ in allowed})).join(ends[0], "src").join(ends[1], "dst").join(rules, ["kind", "from_kind", "to_kind"], "left_anti")
+    symmetric = engine.per_kind("symmetric", default=False)
+    u, v = (F.when(symmetric, f("src", "dst")).otherwise(F.col(c)) for f, c in ((F.least, "src"), (F.greatest, "dst")))
+    bad = bad.select("kind", u.alias("src"), v.alias("dst"), "from_kind", "to_kind").join(world.relationships.select("rel_id", "kind", "src", "dst"), ["kind", "src", "dst"])
+    payload = F.to_json(F.struct("kind", "from_kind", "to_kind"))
+    return world.with_tables(world_events=durable(world.world_events.unionByName(bad.select(F.lit(batch).cast("bigint").alias("batch"), F.lit("SchemaViolation").alias("type"), F.col("rel_id").alias("subject"), payload.alias("payload")))))
+
+
+def subscribers_of(world: World, relationships: DataFrame | None = None) -> DataFrame:
+    """(rel_id, subscriber): by relationship, by kind, and by anchor and kind; each pair once."""
+    s, r = world.subscriptions, (world.relationships if relationships is None else relationships).select("rel_id", "kind", "src", "dst")
+    specific = s.where("scope = 'Specific'").join(r.select("rel_id"), "rel_id", "left_semi").select("rel_id", "subscriber")
+    # Subscribers of a kind are repeated for each edge of it; edges are dealt over salts, as a kind may hold most.
+    salts = 16
+    dealt = r.select("rel_id", "kind", F.pmod(F.xxhash64("rel_id"), F.lit(salts)).cast("int").alias("salt"))
+    told = s.where("scope = 'AllOfKind'").select("kind", "subscriber", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    kind = dealt.join(told, ["kind", "salt"]).select("rel_id", "subscriber")
+    ends = r.select("rel_id", "kind", F.col("src").alias("anchor")).unionAll(r.select("rel_id", "kind", "dst"))
+    anchored = ends.join(s.where("scope = 'TouchingLocus'").select("anchor", "kind", "subscriber"), ["anchor", "kind"]).select("rel_id", "subscriber")
+    return specific.unionAll(kind).unionAll(anchored).distinct()
+
+
+def dispatch(world: World, engine: Engine, changes: DataFrame, resting: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What programs propose after a batch (pending changes of the next one), and the loci that fired.
+
+    Loci hear of their own changes and of those of relationships that they subscribe
+    to, by id, by kind or by anchor.  Those in ``resting`` don't answer.
+    """
     inbox = changes.where("subject_type = 'Locus'").select(F.col("subject_id").alias("locus_id"), "change_id", F.coalesce(slot("after", 0), F.lit(0.0)).alias("signal"))
-    subscribed = changes.where("subject_type = 'Relationship'").select(F.col("subject_id").alias("rel_id"), "change_id", F.coalesce(slot("after", 0), F.lit(0.0)).alias("signal"))
-    told = subscribed.join(world.subscriptions.where("scope = 'Specific'"), "rel_id").select(F.col("subscriber").alias("locus_id"), "change_id", "signal")
+    changed = changes.where("subject_type = 'Relationship'").select(F.col("subject_id").alias("rel_id"), "change_id", F.coalesce(slot("after", 0), F.lit(0.0)).alias("signal"))
+    edges = world.relationships.join(changed.select("rel_id").distinct(), "rel_id", "left_semi")
+    told = changed.join(subscribers_of(world, edges), "rel_id").select(F.col("subscriber").alias("locus_id"), "change_id", "signal")
     inbox = inbox.unionAll(told).join(broadcast_if_small(world.loci.select("locus_id", F.col("kind").alias("locus_kind"), "state")), "locus_id")
+    if resting is not None:
+        inbox = inbox.join(resting, "locus_id", "left_anti")
     none = F.lit(None)
     # One join with the table of programs, whatever their number.
     declared = [(p.locus_kind, p.only_locus, p.influence, float(p.gain), list(p.to) if p.to is not None else None) for p in engine.programs if p.custom is None]
@@ -230,26 +274,47 @@ def dispatch(world: World, engine: Engine, changes: DataFrame) -> DataFrame:
     fired = sums.join(F.broadcast(programs), "locus_kind").where((F.col("only_locus").isNull() | (F.col("only_locus") == F.col("locus_id"))) & (F.abs(value) > 1e-9))
     after = F.when(F.col("to").isNull(), F.array(F.coalesce(slot("state", 0), F.lit(0.0)) + value)).otherwise(F.array(value))
     out = fired.select(
-        F.lit("Locus").alias("subject_type"), F.explode(F.coalesce("to", F.array("locus_id"))).alias("subject_id"), F.col("influence").alias("kind"), "predecessors", after.alias("after"), none.cast("bigint").alias("wall_time"), none.cast("string").alias("metadata")
-    )
+        F.lit("Locus").alias("subject_type"), F.explode(F.coalesce("to", F.array("locus_id"))).alias("subject_id"), F.col("influence").alias("kind"), "predecessors", after.alias("after"), none.cast("bigint").alias("wall_time"), none.cast("string").alias("metadata"),
+        "locus_id",
+    )
     for p in engine.programs:
         if p.custom is not None:
             own = inbox.where(F.col("locus_kind") == p.locus_kind)
             own = own if p.only_locus is None else own.where(F.col("locus_id") == p.only_locus)
-            made = own.groupBy("locus_id").applyInPandas(p.custom, "subject_id bigint, kind bigint, predecessors array<bigint>, after array<double>")
-            out = out.unionByName(made.select(F.lit("Locus").alias("subject_type"), "subject_id", "kind", "predecessors", "after", none.cast("bigint").alias("wall_time"), none.cast("string").alias("metadata")))
-    return out
+            made = own.groupBy("locus_id").applyInPandas(_answering(p.custom), "subject_id bigint, kind bigint, predecessors array<bigint>, after array<double>, locus_id bigint")
+            out = out.unionByName(made.select(F.lit("Locus").alias("subject_type"), "subject_id", "kind", "predecessors", "after", none.cast("bigint").alias("wall_time"), none.cast("string").alias("metadata"), "locus_id"))
+    out = durable(out)
+    return out.drop("locus_id"), out.select("locus_id").distinct()
+
+
+def _answering(program: Callable) -> Callable:
+    """A custom program whose rows also say who answered."""
+
+    def run(inbox):
+        rows = program(inbox)
+        return rows[["subject_id", "kind", "predecessors", "after"]].assign(locus_id=inbox["locus_id"].iloc[0])
+
+    return run
 
 
 def tick(world: World, engine: Engine, stimuli: DataFrame) -> TickResult:
     """Batches until nothing is pending, or the cap."""
     pending, batches, total = durable(stimuli), 0, 0
+    rests = {p.locus_kind: p.refractory for p in engine.programs if p.refractory > 0}
+    last = world.spark.createDataFrame([], "locus_id bigint, fired_at int")
     while not pending.isEmpty():
         if batches == engine.batch_cap:
             return TickResult(world, batches, total, True)
         world, changes = commit_batch(world, engine, pending)
         batches, total = batches + 1, total + changes.count()
-        pending = durable(dispatch(world, engine, changes))
+        resting = None
+        if rests:
+            kinds = F.create_map(*[F.lit(x).cast("bigint") for item in rests.items() for x in item])
+            since = F.lit(batches) - F.col("fired_at")
+            resting = last.join(world.loci, "locus_id").where(since < F.coalesce(kinds[F.col("kind")], F.lit(0))).select("locus_id")
+        pending, fired = dispatch(world, engine, changes, resting)
+        if rests:
+            last = durable(fired.withColumn("fired_at", F.lit(batches)).unionAll(last).groupBy("locus_id").agg(F.max("fired_at").alias("fired_at")))
     return TickResult(world, batches, total, False)
 
 
@@ -277,33 +342,30 @@ def check_invariants(world: World) -> dict[str, bool]:
     return {"dense": not c["n"] or c["b"] - c["a"] + 1 == c["n"], "unique": c["n"] == c["d"], "antecedent": not late, "edge_keys": not twice}
 
 
-def stabilized(before: Column | str, after: Column | str, alpha: float) -> Column:
-    return stabilize(before, after, alpha)
-
-
 def energy(world: World) -> DataFrame:
     """(batch, energy): summed absolute activity of what changed."""
     return world.changes.groupBy("batch").agg(F.sum(F.abs(activity("after"))).alias("energy"))
 
 
 def regimes(energies: DataFrame, window: int = 8) -> DataFrame:
-    """(batch, energy, regime) by the rolling energies of the last ``window`` batches."""
+    """(batch, energy, regime) by the energies of the last ``window`` batches.
+
+    Initializing until there are that many; Quiescent below 1e-4; Diverging beyond
+    1e3, or never falling and higher at the end; Settling if never rising;
+    LimitCycleSuspect if any four in a row repeat at distance two; else Oscillating.
+    """
     from pyspark.sql import Window
 
     last = Window.orderBy("batch").rowsBetween(-(window - 1), 0)  # batches of a log are few
-    h = F.collect_list("energy").over(last)
-    rows = energies.withColumn("h", h)
-
-    def steps(by: int, test) -> Column:
-        """Whether a test holds of all pairs of energies ``by`` batches apart."""
-        pairs = F.arrays_zip(F.slice("h", 1, F.greatest(F.size("h") - by, F.lit(0))).alias("x"), F.slice("h", by + 1, F.size("h")).alias("y"))
-        return F.forall(pairs, lambda p: test(p["x"], p["y"]))
-
-    up, down = steps(1, lambda x, y: y > x), steps(1, lambda x, y: y < x)
-    cycle = steps(4, lambda x, y: F.abs(y - x) <= 1e-3)
+    rows = energies.withColumn("h", F.collect_list("energy").over(last))
+    steps = F.arrays_zip(F.slice("h", 1, F.greatest(F.size("h") - 1, F.lit(0))).alias("x"), F.slice("h", 2, F.size("h")).alias("y"))
+    up, down = F.forall(steps, lambda p: p["y"] >= p["x"]), F.forall(steps, lambda p: p["y"] <= p["x"])
+    at = lambda i: F.element_at("h", i.cast("int"))
+    repeats = F.exists(F.sequence(F.lit(1), F.greatest(F.size("h") - 3, F.lit(1))), lambda i: (F.abs(at(i) - at(i + 2)) < 1e-3) & (F.abs(at(i + 1) - at(i + 3)) < 1e-3))
     regime = (
-        F.when(F.size("h") < 3, "Initializing").when(F.array_max("h") < 1e-4, "Quiescent").when((F.array_max("h") > 1e3) | up, "Diverging")
-        .when(down, "Settling").when((F.size("h") >= max(window, 5)) & cycle, "LimitCycle").otherwise("Oscillating")
+        F.when(F.size("h") < window, "Initializing").when(F.array_max("h") < 1e-4, "Quiescent")
+        .when((F.array_max("h") > 1e3) | (up & (F.element_at("h", -1) > F.element_at("h", 1))), "Diverging")
+        .when(down, "Settling").when(repeats, "LimitCycleSuspect").otherwise("Oscillating")
     )
     return rows.select("batch", "energy", regime.alias("regime"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..durable import durable
 from ..operators.traversal import components
 from ..world import SCHEMAS, World
+from .engine import numbered
 
 ROUNDS = 15
 COHERENCE_STEP = 0.05
@@ -18,23 +19,17 @@ COHERENCE_STEP = 0.05
 def auto_activity_threshold(world: World) -> float:
     """Just above the value below the widest ratio gap (two or more) in the lower three quarters of |activity|; 0 without one.
 
-    Neighbours in sorted order come from ranges of values, each range a window of
-    its own; only the ranges' edges meet on the driver.
+    The values are numbered by ranges; a value's neighbour is the one of the next number.
     """
-    values = durable(world.edges.select(F.abs("activity").alias("a")).where("a > 0"))
-    n = values.count()
+    values = world.edges.select(F.abs("activity").alias("a")).where("a > 0")
+    placed = durable(numbered(values, [F.col("a")], 0, "place"))
+    n = placed.count()
     if n < 4:
         return 0.0
-    limit = values.agg(F.percentile_approx("a", 0.75, 10_000)).first()[0]
-    ranged = durable(values.where(F.col("a") <= limit).repartitionByRange("a").withColumn("p", F.spark_partition_id()))
-    gap = F.lead("a").over(Window.partitionBy("p").orderBy("a")) / F.col("a")
-    best = ranged.withColumn("g", gap).where("g >= 2").agg(F.max(F.struct("g", "a")).alias("m")).first()["m"]
-    edges = ranged.groupBy("p").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).orderBy("lo").collect()
-    found = (best["g"], best["a"]) if best else (0.0, 0.0)
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if b["lo"] / a["hi"] >= 2:
-            found = max(found, (b["lo"] / a["hi"], a["hi"]))
-    return found[1] * 1.0001 if found[0] else 0.0
+    low = placed.where((F.col("place") < n * 3 // 4) & (F.col("a") >= 1e-6))
+    gaps = low.join(placed.select((F.col("place") - 1).alias("place"), F.col("a").alias("b")), "place").select((F.col("b") / F.col("a")).alias("g"), "a")
+    best = gaps.where("g >= 2").agg(F.max(F.struct(F.col("g"), (-F.col("a")).alias("a"))).alias("m")).first()["m"]
+    return -best["a"] * 1.0001 if best else 0.0
 
 
 def find_communities(world: World, threshold: float, rounds: int = ROUNDS) -> DataFrame:
@@ -114,13 +109,36 @@ def proposals(world: World, found: DataFrame) -> DataFrame:
     return split.unionAll(dormant).unionAll(fate.select(kind, "community", own, rest))
 
 
+def exclusive(world: World, found: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups without the loci that another entity owns, and the plan without those that this leaves too small.
+
+    Loci of an entity that claims a group are its own: a group that is born or
+    revived loses all of them, a claimed one those of other entities; a merge takes all.
+    """
+    claims = plan.where("type IN ('Deposit', 'Merge')").select(F.explode(F.concat(F.array("entity_id"), "others")).alias("owner")).distinct()
+    owned = world.entities.join(claims, F.col("entity_id") == F.col("owner"), "left_semi").select(F.explode("members").alias("locus_id"), F.col("entity_id").alias("owner"))
+    fate = plan.where("type IN ('Born', 'Revive', 'Deposit')").select("community", F.when(F.col("type") == "Deposit", F.col("entity_id")).alias("own"))
+    members = found.join(fate, "community").select("community", "own", F.explode("members").alias("locus_id"))
+    mine = world.entities.select(F.col("entity_id").alias("own"), F.explode("members").alias("locus_id"), F.lit(True).alias("mine"))
+    foreign = members.join(owned.select("locus_id").distinct(), "locus_id", "left_semi").join(mine, ["own", "locus_id"], "left").where("mine IS NULL")
+    lost = durable(foreign.groupBy("community").agg(F.collect_set("locus_id").alias("lost")))
+    left = found.join(lost, "community", "left").withColumn("members", F.when(F.col("lost").isNull(), F.col("members")).otherwise(F.array_except("members", "lost")))
+    rels = left.where("lost IS NOT NULL").select("community", "members", F.explode("member_rels").alias("rel_id")).join(world.relationships.select("rel_id", "src", "dst"), "rel_id")
+    inside = rels.where(F.array_contains("members", F.col("src")) & F.array_contains("members", F.col("dst"))).groupBy("community").agg(F.array_sort(F.collect_set("rel_id")).alias("inside"))
+    none = F.array().cast("array<bigint>")
+    left = left.join(inside, "community", "left").withColumn("member_rels", F.when(F.col("lost").isNull(), F.col("member_rels")).otherwise(F.coalesce("inside", none)))
+    groups = durable(left.select("community", "members", "member_rels", "coherence"))
+    small = groups.where(F.size("members") < 2).select("community")
+    gone = F.col("type").isin("Born", "Revive", "Deposit")
+    kept = plan.where(~gone | F.col("community").isNull()).unionByName(plan.where(gone & F.col("community").isNotNull()).join(small, "community", "left_anti").select(*plan.columns))
+    return groups, durable(kept)
+
+
 def recognize_entities(world: World, threshold: float | None = None) -> tuple[World, DataFrame]:
     """One pass of recognition: the world with entities and layers, and the lifecycle events."""
-    from .engine import numbered
-
     threshold = auto_activity_threshold(world) if threshold is None else threshold
     found = durable(component_stats(world, find_communities(world, threshold), threshold))
-    plan = durable(proposals(world, found))
+    found, plan = exclusive(world, found, durable(proposals(world, found)))
     batch = world.current_batch
     empty = F.array().cast("array<bigint>")
     top = world.entities.agg(F.coalesce(F.max("entity_id"), F.lit(-1))).first()[0]
@@ -165,7 +183,8 @@ def extract_cohere(world: World, perspective: str = "default", min_bridge: float
     other = member.select(F.col("locus_id").alias("dst"), F.col("entity_id").alias("y"))
     bridges = durable(world.edges.join(own, "src").join(other, "dst").where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum(F.abs("activity")).alias("w")).where("w > 0"))
     if min_bridge is None:
-        min_bridge = bridges.agg(F.percentile_approx("w", 0.5, 100_000)).first()[0]
+        median = numbered(bridges.select("w"), [F.col("w")], 0, "place").where(F.col("place") == bridges.count() // 2).first()
+        min_bridge = median["w"] if median else None
     strong = durable(bridges.where(F.col("w") >= F.lit(float(min_bridge or 0.0))))
     label = components(world, nodes=member.select(F.col("entity_id").alias("locus_id")).limit(0), steps=strong.select("a", "b"))
     total = strong.count()

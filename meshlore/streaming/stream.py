@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..durable import durable
 from ..world import World
-from .engine import PENDING, Engine, TickResult, energy, flush_decay, regimes, tick
+from .engine import PENDING, Engine, TickResult, energy, flush_decay, regimes, subscribers_of, tick, without_demoted
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -64,7 +64,7 @@ class Simulation:
             pending = pending.unionByName(part)
         self.queued = []
         result: TickResult = tick(self.world, self.engine, pending)
-        self.world = result.world
+        self.world = without_demoted(result.world, self.engine)
         last = regimes(energy(self.world)).orderBy(F.desc("batch")).select("regime").first()
         seen = StepObservation(len(self.history), result.batches, result.changes, self.world.relationships.count(), self.world.entities.where("status = 'Active'").count(), last[0] if last else "Initializing", result.hit_batch_cap)
         self.history.append(seen)
@@ -126,14 +126,7 @@ def subscribe(world: World, rows: Iterable[tuple[int, str, int | None, int | Non
     return world.with_tables(subscriptions=world.subscriptions.unionByName(new).distinct(), subscription_events=world.subscription_events.unionByName(events))
 
 
-def subscribers_of(world: World) -> DataFrame:
-    """(rel_id, subscriber): by relationship, by kind, and by anchor and kind; each pair once."""
-    s, r = world.subscriptions, world.relationships.select("rel_id", "kind", "src", "dst")
-    specific = s.where("scope = 'Specific'").join(r.select("rel_id"), "rel_id", "left_semi").select("rel_id", "subscriber")
-    kind = r.join(F.broadcast(s.where("scope = 'AllOfKind'").select("kind", "subscriber").limit(100_000)), "kind").select("rel_id", "subscriber") if s.where("scope = 'AllOfKind'").limit(100_001).count() <= 100_000 else r.join(s.where("scope = 'AllOfKind'").select("kind", "subscriber"), "kind").select("rel_id", "subscriber")
-    ends = r.select("rel_id", "kind", F.col("src").alias("anchor")).unionAll(r.select("rel_id", "kind", "dst"))
-    anchored = ends.join(s.where("scope = 'TouchingLocus'").select("anchor", "kind", "subscriber"), ["anchor", "kind"]).select("rel_id", "subscriber")
-    return specific.unionAll(kind).unionAll(anchored).distinct()
+__all__ = ["Simulation", "StepObservation", "read_events", "windowed_activity", "evidence_sessions", "simulate_stream", "subscribe", "subscribers_of", "subscription_audit"]
 
 
 def subscription_audit(world: World, first: int, last: int) -> DataFrame:
