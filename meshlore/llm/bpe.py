@@ -33,7 +33,7 @@ from . import common
 from .blocks import blocks
 
 #: Entries of each half of a worker's word cache and pre-token cache (some 80 MB in all), and the longest string in them.
-CACHE = 130_000
+CACHE = 90_000
 LONGEST = 64
 
 #: Pre-tokens of the byte-level tokenizer (fixed pattern of the tokenizer file's "ByteLevel" type).
