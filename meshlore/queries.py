@@ -90,10 +90,16 @@ def _(w):
     return find.coheres(w).with_min_strength(0.1).with_min_entity_count(5).rows.select("perspective", "cohere_id", F.size("entity_ids").cast("bigint").alias("n_entities"), "strength")
 
 
-@_query("most_similar_relationships")
+SIMILAR = """
+, anchor AS (SELECT activity AS x, weight AS y FROM rel WHERE rel_id = (SELECT min(rel_id) FROM rel))
+SELECT rel_id, round((activity * x + weight * y) / (sqrt(activity * activity + weight * weight) * sqrt(x * x + y * y)), 6) AS similarity
+FROM rel CROSS JOIN anchor WHERE rel_id <> (SELECT min(rel_id) FROM rel)"""
+
+
+@_query("most_similar_relationships", SIMILAR)
 def _(w):
     anchor = w.relationships.agg(F.min("rel_id")).first()[0]
-    return find.most_similar_relationships(w, anchor, 20).select("rel_id", F.round("similarity", 6).alias("similarity"))
+    return find.most_similar_relationships(w, anchor, w.relationships.count()).select("rel_id", F.round("similarity", 6).alias("similarity"))
 
 
 # Topology and aggregates.
@@ -104,9 +110,14 @@ _run("hub_loci", "HubLoci", {"min_degree": 60}, ["locus_id", "degree"], "SELECT
 _run("reciprocal_pairs", "ReciprocPairs", {}, ["rel_id"], "SELECT unnest([a.rel_id, b.rel_id]) AS rel_id FROM rel a JOIN rel b ON a.kind = b.kind AND a.src = b.dst AND a.dst = b.src WHERE a.directed AND b.directed AND a.rel_id <= b.rel_id")
 
 
-@_query("reciprocal_of", "SELECT b.rel_id FROM rel a JOIN rel b ON a.kind = b.kind AND a.src = b.dst AND a.dst = b.src AND b.directed WHERE a.directed AND a.rel_id = (SELECT max(rel_id) FROM rel WHERE kind = 4)")
+RECIPROCAL = """
+SELECT b.rel_id FROM rel a JOIN rel b ON a.kind = b.kind AND a.src = b.dst AND a.dst = b.src AND b.directed
+WHERE a.directed AND a.rel_id = (SELECT min(x.rel_id) FROM rel x JOIN rel y ON x.kind = y.kind AND x.src = y.dst AND x.dst = y.src AND x.directed AND y.directed)"""
+
+
+@_query("reciprocal_of", RECIPROCAL)
 def _(w):
-    return topology.reciprocal_of(w, w.relationships.where("kind = 4").agg(F.max("rel_id")).first()[0])
+    return topology.reciprocal_of(w, topology.reciprocal_pairs(w).agg(F.min("rel_a")).first()[0])
 
 
 @_query("degrees", "SELECT locus AS locus_id, count(*) AS degree, count(*) FILTER (directed AND incoming) AS in_degree, count(*) FILTER (directed AND outgoing) AS out_degree FROM inc GROUP BY locus")
@@ -124,7 +135,8 @@ def _(w):
     return find.incoming_outgoing_activity(w).select("locus_id", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("incoming", "outgoing", "balance")])
 
 
-KIND3 = "kind = 3"
+#: Strength from which an edge counts as positive: some triangles of the driver tables then are unstable.
+SIGN = 1.55
 PAIRS3 = "p3 AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, sum(activity + weight) AS s FROM rel WHERE kind = 3 AND activity > 0.15 GROUP BY 1, 2)"
 
 
@@ -132,14 +144,14 @@ def _kind3(w, low: float = 0.15):
     return (F.col("kind") == 3) & (V.activity() > low)
 
 
-@_query("triangle_balance", f", {PAIRS3} SELECT count(*) AS triangles, round(avg(CASE WHEN (CASE WHEN a.s > 0.1 THEN 1 ELSE -1 END) * (CASE WHEN b.s > 0.1 THEN 1 ELSE -1 END) * (CASE WHEN c.s > 0.1 THEN 1 ELSE -1 END) > 0 THEN 1.0 ELSE 0.0 END), 6) AS balance_index FROM p3 a JOIN p3 b ON a.v = b.u JOIN p3 c ON c.u = a.u AND c.v = b.v")
+@_query("triangle_balance", f", {PAIRS3} SELECT count(*) AS triangles, round(avg(CASE WHEN (CASE WHEN a.s > {SIGN} THEN 1 ELSE -1 END) * (CASE WHEN b.s > {SIGN} THEN 1 ELSE -1 END) * (CASE WHEN c.s > {SIGN} THEN 1 ELSE -1 END) > 0 THEN 1.0 ELSE 0.0 END), 6) AS balance_index FROM p3 a JOIN p3 b ON a.v = b.u JOIN p3 c ON c.u = a.u AND c.v = b.v")
 def _(w):
-    return topology.balance_index(w, 0.1, _kind3(w)).select("triangles", F.round("balance_index", 6).alias("balance_index"))
+    return topology.balance_index(w, SIGN, _kind3(w)).select("triangles", F.round("balance_index", 6).alias("balance_index"))
 
 
-@_query("unstable_triangles", f", {PAIRS3} SELECT a.u AS a, a.v AS b, b.v AS c FROM p3 a JOIN p3 b ON a.v = b.u JOIN p3 c ON c.u = a.u AND c.v = b.v WHERE (CASE WHEN a.s > 0.1 THEN 1 ELSE -1 END) * (CASE WHEN b.s > 0.1 THEN 1 ELSE -1 END) * (CASE WHEN c.s > 0.1 THEN 1 ELSE -1 END) < 0")
+@_query("unstable_triangles", f", {PAIRS3} SELECT a.u AS a, a.v AS b, b.v AS c FROM p3 a JOIN p3 b ON a.v = b.u JOIN p3 c ON c.u = a.u AND c.v = b.v WHERE (CASE WHEN a.s > {SIGN} THEN 1 ELSE -1 END) * (CASE WHEN b.s > {SIGN} THEN 1 ELSE -1 END) * (CASE WHEN c.s > {SIGN} THEN 1 ELSE -1 END) < 0")
 def _(w):
-    return topology.unstable_triangles(w, 0.1, _kind3(w))
+    return topology.unstable_triangles(w, SIGN, _kind3(w))
 
 
 NEAR = "near AS (SELECT i, j, sum(s) AS s FROM (SELECT src AS i, dst AS j, activity + weight AS s FROM rel WHERE kind = 3 UNION ALL SELECT dst, src, activity + weight FROM rel WHERE kind = 3) GROUP BY i, j), tot AS (SELECT i, sum(s) AS t FROM near GROUP BY i), sh AS (SELECT near.i, j, CASE WHEN t <> 0 THEN s / t END AS p, CASE WHEN t > 0 THEN s / t ELSE 0.0 END AS pp FROM near JOIN tot ON near.i = tot.i)"
@@ -201,27 +213,63 @@ def _(w):
     return traversal.reachable(w, 8, 1, "out", 4)
 
 
-def _path_length(arcs: str, start: int, target: int, depth: int) -> str:
-    return f", arcs AS (SELECT DISTINCT locus AS a, other AS b FROM inc WHERE {arcs}), r AS (SELECT CAST({start} AS BIGINT) AS node, 0 AS depth UNION SELECT CAST(b AS BIGINT), depth + 1 FROM r JOIN arcs ON a = node WHERE depth < {depth}) SELECT min(depth) AS hops FROM r WHERE node = {target} HAVING min(depth) IS NOT NULL"
+def _path(steps: str, start: int, target: int, depth: int) -> str:
+    """Hops and path: distances from the start, then all shortest paths, of which the least in order."""
+    return f"""
+, arcs AS MATERIALIZED (SELECT DISTINCT locus AS a, other AS b FROM inc WHERE {steps}),
+r AS (SELECT CAST({start} AS BIGINT) AS node, 0 AS depth UNION SELECT CAST(b AS BIGINT), depth + 1 FROM r JOIN arcs ON a = node WHERE depth < {depth}),
+dist AS MATERIALIZED (SELECT node, min(depth) AS d FROM r GROUP BY node),
+p AS (SELECT CAST({start} AS BIGINT) AS node, 0 AS d, [CAST({start} AS BIGINT)] AS path
+      UNION ALL SELECT dist.node, dist.d, list_append(path, dist.node) FROM p JOIN arcs ON a = p.node JOIN dist ON dist.node = b AND dist.d = p.d + 1 WHERE p.d < {depth} AND p.node <> {target})
+SELECT d AS hops, array_to_string(path, '-') AS path FROM p WHERE node = {target} ORDER BY path LIMIT 1"""
+
+
+PATH = ["hops", "array_join(transform(path, x -> cast(x AS string)), '-') AS path"]
+_run("path_between", "PathBetween", {"source": 5, "target": PART + 9}, PATH, _path("TRUE", 5, PART + 9, 3))
+_run("path_between_of_kind", "PathBetweenOfKind", {"source": SUPPLIER + 1, "target": SUPPLIER + 9, "kind": 2}, PATH, _path("kind = 2", SUPPLIER + 1, SUPPLIER + 9, 4))
+_run("directed_path", "DirectedPath", {"source": 5, "target": PART + 9}, PATH, _path("outgoing", 5, PART + 9, 3))
+_run("path_between_active", "PathBetweenActive", {"source": 5, "target": PART + 9, "min_activity": 0.3}, PATH, _path("activity >= 0.3", 5, PART + 9, 5))
+
+
+def _strongest(start: int, target: int, rounds: int = 8) -> str:
+    """Least costs after some rounds of relaxation, more than the strongest path has steps."""
+    steps = "st AS MATERIALIZED (SELECT locus AS a, other AS b, min(1 / greatest(activity, 1e-6)) AS s FROM inc WHERE locus <> other GROUP BY 1, 2)"
+    best = [f"d0 AS (SELECT CAST({start} AS BIGINT) AS node, 0.0::DOUBLE AS cost)"]
+    best += [f"d{k} AS MATERIALIZED (SELECT node, min(cost) AS cost FROM (SELECT * FROM d{k - 1} UNION ALL SELECT b, cost + s FROM d{k - 1} JOIN st ON a = node) GROUP BY node)" for k in range(1, rounds + 1)]
+    return f", {', '.join([steps, *best])} SELECT round(cost, 6) AS cost FROM d{rounds} WHERE node = {target}"
 
 
-_run("path_between", "PathBetween", {"source": 5, "target": PART + 9}, ["hops"], _path_length("TRUE", 5, PART + 9, 4))
-_run("path_between_of_kind", "PathBetweenOfKind", {"source": SUPPLIER + 1, "target": SUPPLIER + 9, "kind": 2}, ["hops"], _path_length("kind = 2", SUPPLIER + 1, SUPPLIER + 9, 4))
-_run("directed_path", "DirectedPath", {"source": 5, "target": PART + 9}, ["hops"], _path_length("outgoing", 5, PART + 9, 4))
-_run("path_between_active", "PathBetweenActive", {"source": 5, "target": PART + 9, "min_activity": 0.3}, ["hops"], _path_length("activity >= 0.3", 5, PART + 9, 6))
-_run("strongest_path", "StrongestPath", {"source": SUPPLIER + 1, "target": SUPPLIER + 9}, ["round(cost, 6) AS cost"])
+_run("strongest_path", "StrongestPath", {"source": SUPPLIER + 1, "target": SUPPLIER + 9}, ["round(cost, 6) AS cost"], _strongest(SUPPLIER + 1, SUPPLIER + 9))
 
 
-def _labels(arcs: str) -> str:
-    return f", arcs AS (SELECT DISTINCT locus AS a, other AS b FROM inc WHERE {arcs}), r AS (SELECT CAST(locus_id AS BIGINT) AS node, CAST(locus_id AS BIGINT) AS label FROM loci UNION SELECT CAST(b AS BIGINT), label FROM r JOIN arcs ON a = node) SELECT node AS locus_id, min(label) AS component FROM r GROUP BY node"
+def _labels(arcs: str, rounds: int = 8) -> str:
+    """Least labels after some rounds, more than the least locus of a component is steps away from any other."""
+    steps = f"arcs AS MATERIALIZED (SELECT DISTINCT locus AS a, other AS b FROM inc WHERE {arcs})"
+    least = ["l0 AS (SELECT CAST(locus_id AS BIGINT) AS n, CAST(locus_id AS BIGINT) AS c FROM loci)"]
+    least += [f"l{k} AS MATERIALIZED (SELECT n, min(c) AS c FROM (SELECT n, c FROM l{k - 1} UNION ALL SELECT b, c FROM l{k - 1} JOIN arcs ON a = n) GROUP BY n)" for k in range(1, rounds + 1)]
+    return f", {', '.join([steps, *least])} SELECT n AS locus_id, c AS component FROM l{rounds}"
+
+
+def _peeled(rounds: int = 8) -> str:
+    """Whether directed edges are left after some rounds of peeling, more than the longest way to a cycle or out of it."""
+    left = ["e0 AS MATERIALIZED (SELECT DISTINCT src, dst FROM rel WHERE directed)"]
+    left += [f"e{k} AS MATERIALIZED (SELECT * FROM e{k - 1} WHERE src IN (SELECT dst FROM e{k - 1}) AND dst IN (SELECT src FROM e{k - 1}))" for k in range(1, rounds + 1)]
+    return f", {', '.join(left)} SELECT count(*) > 0 AS value FROM e{rounds}"
 
 
 _run("connected_components_of_kind", "ConnectedComponentsOfKind", {"kind": 3}, ["locus_id", "component"], _labels("kind = 3"))
-_run("connected_components", "ConnectedComponents", {}, ["locus_id", "component"])
-_run("has_cycle", "HasCycle", {}, ["value"])
+_run("connected_components", "ConnectedComponents", {}, ["locus_id", "component"], _labels("TRUE"))
+_run("has_cycle", "HasCycle", {}, ["value"], _peeled())
+
+
+TRANSITIVE = """
+, st AS MATERIALIZED (SELECT locus AS a, other AS b, max(activity) AS x FROM inc WHERE kind = 4 AND outgoing AND locus <> other GROUP BY 1, 2),
+p AS (SELECT CAST(8 AS BIGINT) AS node, [CAST(8 AS BIGINT)] AS path, 1.0::DOUBLE AS x
+      UNION ALL SELECT b, list_append(path, b), p.x * st.x FROM p JOIN st ON a = node WHERE len(path) < 4 AND node <> 46)
+SELECT round(x, 9) AS activity FROM (SELECT * FROM p WHERE node = 46 ORDER BY len(path), path LIMIT 1)"""
 
 
-@_query("infer_transitive")
+@_query("infer_transitive", TRANSITIVE)
 def _(w):
     value = traversal.infer_transitive(w, 8, 46, 4, "product")
     return w.spark.createDataFrame([(value,)], "activity double").select(F.round("activity", 9).alias("activity"))
@@ -235,19 +283,50 @@ def _(w):
 # Centrality and communities.
 
 
-@_query("pagerank")
+def _pagerank(rounds: int) -> str:
+    """The scores (locus_id, s) after some rounds, as r{rounds}."""
+    steps = [
+        "n AS (SELECT count(*) AS n FROM loci)",
+        "ln AS (SELECT locus AS a, other AS b, sum(activity) AS w FROM inc WHERE outgoing AND activity > 0 GROUP BY 1, 2)",
+        "t AS MATERIALIZED (SELECT a, sum(w) AS t FROM ln GROUP BY a)",
+        "p AS MATERIALIZED (SELECT ln.a, b, w / t AS p FROM ln JOIN t ON ln.a = t.a)",
+        "r0 AS (SELECT locus_id, 1.0::DOUBLE / n AS s FROM loci, n)",
+    ]
+    for k in range(rounds):
+        steps.append(f"d{k} AS (SELECT coalesce(sum(s), 0) AS f FROM r{k} WHERE locus_id IN (SELECT a FROM t))")
+        came = f"(SELECT b, sum(p * s) AS c FROM p JOIN r{k} ON locus_id = a GROUP BY b)"
+        steps.append(f"r{k + 1} AS MATERIALIZED (SELECT r{k}.locus_id, 0.15 / n + 0.85 * (1 - f) / n + 0.85 * coalesce(c, 0) AS s FROM r{k} CROSS JOIN n CROSS JOIN d{k} LEFT JOIN {came} x ON x.b = r{k}.locus_id)")
+    return ", " + ", ".join(steps)
+
+
+@_query("pagerank", _pagerank(10) + " SELECT locus_id, round(s, 9) AS score FROM r10")
 def _(w):
-    return centrality.pagerank(w, iterations=10).orderBy(F.desc("score"), "locus_id").select("locus_id", F.round("score", 9).alias("score"))
+    return centrality.pagerank(w, iterations=10, tolerance=0.0).select("locus_id", F.round("score", 9).alias("score"))
 
 
-@_query("pagerank_two_rounds", ", n AS (SELECT count(*) AS n FROM loci), ln AS (SELECT locus AS a, other AS b, sum(activity) AS w FROM inc WHERE outgoing AND activity > 0 GROUP BY 1, 2), t AS (SELECT a, sum(w) AS t FROM ln GROUP BY a), p AS (SELECT ln.a, b, w / t AS p FROM ln JOIN t ON ln.a = t.a), r0 AS (SELECT locus_id, 1.0 / n AS s FROM loci, n), d0 AS (SELECT coalesce(sum(s), 0) AS f FROM r0 WHERE locus_id IN (SELECT a FROM t)), r1 AS (SELECT r0.locus_id, 0.15 / n + 0.85 * (1 - f) / n + 0.85 * coalesce(c, 0) AS s FROM r0 CROSS JOIN n CROSS JOIN d0 LEFT JOIN (SELECT b, sum(p * s) AS c FROM p JOIN r0 ON locus_id = a GROUP BY b) x ON x.b = r0.locus_id), d1 AS (SELECT coalesce(sum(s), 0) AS f FROM r1 WHERE locus_id IN (SELECT a FROM t)) SELECT r1.locus_id, round(0.15 / n + 0.85 * (1 - f) / n + 0.85 * coalesce(c, 0), 9) AS score FROM r1 CROSS JOIN n CROSS JOIN d1 LEFT JOIN (SELECT b, sum(p * s) AS c FROM p JOIN r1 ON locus_id = a GROUP BY b) x ON x.b = r1.locus_id")
+@_query("pagerank_two_rounds", _pagerank(2) + " SELECT locus_id, round(s, 9) AS score FROM r2")
 def _(w):
     return centrality.pagerank(w, iterations=2).select("locus_id", F.round("score", 9).alias("score"))
 
 
-@_query("closeness", ", a AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM rel WHERE kind = 3 AND activity > 0.35 AND src <> dst), s AS (SELECT u AS x, v AS y FROM a UNION SELECT v, u FROM a), nodes AS (SELECT DISTINCT x FROM s), r AS (SELECT x AS o, x AS node, 0 AS d FROM nodes UNION SELECT o, y, d + 1 FROM r JOIN s ON s.x = node WHERE d < 6), m AS (SELECT o, node, min(d) AS d FROM r GROUP BY o, node) SELECT o AS locus_id, round(sum(CASE WHEN d > 0 THEN 1.0 / d ELSE 0 END) / ((SELECT count(*) FROM nodes) - 1), 6) AS score FROM m GROUP BY o")
-def _(w):
-    return centrality.all_closeness(w, _kind3(w, 0.35)).select("locus_id", F.round("score", 6).alias("score"))
+_run("pagerank_for", "PageRankFor", {"locus": SUPPLIER + 4, "iterations": 5, "tolerance": 0.0}, ["locus_id", "round(score, 9) AS score"], _pagerank(5) + f" SELECT locus_id, round(s, 9) AS score FROM r5 WHERE locus_id = {SUPPLIER + 4}")
+
+CLOSENESS = f"""
+, arcs AS MATERIALIZED (SELECT DISTINCT locus AS a, other AS b FROM inc WHERE locus <> other),
+r AS (SELECT CAST({SUPPLIER + 4} AS BIGINT) AS node, 0 AS depth UNION SELECT CAST(b AS BIGINT), depth + 1 FROM r JOIN arcs ON a = node WHERE depth < 7),
+m AS (SELECT node, min(depth) AS d FROM r GROUP BY node)
+SELECT {SUPPLIER + 4} AS locus_id, round(sum(CASE WHEN d > 0 THEN 1.0 / d ELSE 0 END) / ((SELECT count(*) FROM loci) - 1), 6) AS score FROM m"""
+_run("closeness_for", "ClosenessFor", {"locus": SUPPLIER + 4}, ["locus_id", "round(score, 6) AS score"], CLOSENESS)
+
+CONSTRAINT = f"""
+, near AS MATERIALIZED (SELECT i, j, sum(s) AS s FROM (SELECT src AS i, dst AS j, activity + weight AS s FROM rel UNION ALL SELECT dst, src, activity + weight FROM rel WHERE src <> dst) GROUP BY i, j),
+tot AS (SELECT i, sum(s) AS t FROM near GROUP BY i),
+sh AS MATERIALIZED (SELECT near.i, j, CASE WHEN t <> 0 THEN s / t END AS p, CASE WHEN t > 0 THEN s / t ELSE 0.0 END AS pp FROM near JOIN tot ON near.i = tot.i),
+own AS (SELECT * FROM sh WHERE i = {SUPPLIER + 4} AND p IS NOT NULL),
+ind AS (SELECT b.j, sum(a.p * b.pp) AS m FROM own a JOIN sh b ON a.j = b.i WHERE a.j <> b.j GROUP BY b.j)
+SELECT i AS locus_id, round(sum((p + coalesce(m, 0)) ** 2), 5) AS score FROM own LEFT JOIN ind ON own.j = ind.j GROUP BY i"""
+_run("constraint_for", "ConstraintFor", {"locus": SUPPLIER + 4}, ["locus_id", "round(score, 5) AS score"], CONSTRAINT)
+_run("louvain_with_resolution", "LouvainWithResolution", {"resolution": 0.5}, ["locus_id", "community"])
 
 
 @_query("louvain")
@@ -287,6 +366,9 @@ def _(w):
 
 
 _run("changes_to_locus_in_range", "ChangesToLocusInRange", {"locus": 8, "first": 3, "last": 12}, ["change_id", "batch", "kind", "round(after[0], 6) AS a0"], "SELECT change_id, batch, kind, round(a0, 6) AS a0 FROM changes WHERE subject_type = 'Locus' AND subject_id = 8 AND batch BETWEEN 3 AND 12")
+_run("changes_to_relationship_in_range", "ChangesToRelationshipInRange", {"rel_id": 400000000800000046, "first": 0, "last": 40}, ["change_id", "batch", "kind", "round(after[0], 6) AS a0"],
+     "SELECT change_id, batch, kind, round(a0, 6) AS a0 FROM changes WHERE subject_type = 'Relationship' AND subject_id = 400000000800000046 AND batch BETWEEN 0 AND 40")
+_run("locus_state_slot", "LocusStateSlot", {"locus": SUPPLIER + 4, "slot": 0}, ["round(value, 6) AS value"], f"SELECT round(s0, 6) AS value FROM loci WHERE locus_id = {SUPPLIER + 4}")
 _run("loci_changed_in_batch", "LociChangedInBatch", {"batch": 5}, ["subject_id"], "SELECT DISTINCT subject_id FROM changes WHERE subject_type = 'Locus' AND batch = 5")
 _run("relationships_changed_in_batch", "RelationshipsChangedInBatch", {"batch": 5}, ["subject_id"], "SELECT DISTINCT subject_id FROM changes WHERE subject_type = 'Relationship' AND batch = 5")
 
@@ -321,17 +403,31 @@ def _(w):
     return causality.world_diff(w, 4, 9).select("section", "id")
 
 
-@_query("time_travel", "SELECT 'remove' AS action, rel_id AS id, FALSE AS clamped FROM rel WHERE created_batch >= 40")
+TIME_TRAVEL = """
+SELECT 'remove' AS action, rel_id AS id, FALSE AS clamped FROM rel WHERE created_batch >= 40
+UNION ALL SELECT 'irrecoverable', rel_id, FALSE FROM pruned WHERE batch >= 40 AND batch <= 84
+UNION ALL SELECT DISTINCT 'approximate', entity_id, FALSE FROM layers WHERE batch <= 40 AND entity_id % 4 = 0"""
+
+
+@_query("time_travel", TIME_TRAVEL)
 def _(w):
     return causality.time_travel(w, 40)
 
 
-_run("activity_trend_rows", "ActivityTrend", {"rel_id": 400000000800000046, "first": 0, "last": 40}, ["rel_id", "n", "round(slope, 6) AS slope", "trend"])
+def _trends(last: int) -> str:
+    return f"""
+, s AS (SELECT subject_id AS rel_id, a0, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY change_id) - 1 AS DOUBLE) AS i FROM changes WHERE subject_type = 'Relationship' AND batch BETWEEN 0 AND {last}),
+g AS (SELECT rel_id, count(*) AS n, round(CASE WHEN count(*) > 1 THEN regr_slope(a0, i) END, 6) AS slope FROM s GROUP BY rel_id)
+SELECT rel_id, n, slope, CASE WHEN n < 2 THEN 'Insufficient' WHEN slope > 0.05 THEN 'Rising' WHEN slope < -0.05 THEN 'Falling' ELSE 'Stable' END AS trend FROM g"""
 
 
-@_query("activity_trends", ", s AS (SELECT subject_id AS rel_id, a0, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY change_id) - 1 AS DOUBLE) AS i FROM changes WHERE subject_type = 'Relationship' AND batch BETWEEN 0 AND 25), g AS (SELECT rel_id, count(*) AS n, round(CASE WHEN count(*) > 1 THEN regr_slope(a0, i) END, 6) AS slope FROM s GROUP BY rel_id) SELECT rel_id, n, slope, CASE WHEN n < 2 THEN 'Insufficient' WHEN slope > 0.05 THEN 'Rising' WHEN slope < -0.05 THEN 'Falling' ELSE 'Stable' END AS trend FROM g")
+TREND = ["rel_id", "n", "CASE WHEN n > 1 THEN round(slope, 6) END AS slope", "trend"]
+_run("activity_trend_rows", "ActivityTrend", {"rel_id": 400000000800000046, "first": 0, "last": 40}, TREND, _trends(40) + " WHERE rel_id = 400000000800000046")
+
+
+@_query("activity_trends", _trends(25))
 def _(w):
-    return causality.trends(w, 0, 25).select("rel_id", "n", F.when(F.col("n") > 1, F.round("slope", 6)).alias("slope"), "trend")
+    return causality.trends(w, 0, 25).selectExpr(*TREND)
 
 
 @_query("relationship_volatility", "SELECT subject_id AS rel_id, round(CASE WHEN count(*) < 2 THEN 0.0 ELSE stddev_pop(a0) END, 6) AS volatility FROM changes WHERE subject_type = 'Relationship' AND batch BETWEEN 2 AND 20 GROUP BY subject_id")
@@ -363,7 +459,7 @@ _run("counterfactual_replay", "CounterfactualReplay", {"changes": [300, 301]}, [
 _run("entity_deviations_since", "EntityDeviationsSince", {"baseline": 4}, ["entity_id", "coherence_at_baseline", "coherence_now", "members_at_baseline", "members_now", "layers_since", "lifecycle"],
      ", b AS (SELECT entity_id, arg_max(coherence, batch) AS c, arg_max(member_count, batch) AS m FROM layers WHERE batch <= 4 GROUP BY entity_id), s AS (SELECT entity_id, count(*) AS n, count(*) FILTER (batch = (SELECT min(batch) FROM layers l2 WHERE l2.entity_id = layers.entity_id)) AS lc FROM layers WHERE batch > 4 GROUP BY entity_id) SELECT s.entity_id, b.c AS coherence_at_baseline, coherence AS coherence_now, b.m AS members_at_baseline, member_count AS members_now, n AS layers_since, lc AS lifecycle FROM s JOIN ents ON ents.entity_id = s.entity_id LEFT JOIN b ON b.entity_id = s.entity_id")
 _run("entity_layers_in_range", "EntityLayersInRange", {"entity": 3, "first": 4, "last": 7}, ["entity_id", "batch", "coherence", "member_count"], "SELECT entity_id, batch, coherence, member_count FROM layers WHERE entity_id = 3 AND batch >= 4 AND batch < 7")
-_run("entity_transition_cause", "EntityTransitionCause", {"entity": 3, "batch": 5}, ["entity_id", "batch"], "SELECT entity_id, max(batch) AS batch FROM layers WHERE entity_id = 3 AND batch <= 5 GROUP BY entity_id")
+_run("entity_transition_cause", "EntityTransitionCause", {"entity": 3, "batch": 5}, ["entity_id", "batch", "transition", "cause.type AS cause"], "SELECT entity_id, max(batch) AS batch, CASE WHEN max(batch) = (SELECT min(batch) FROM layers WHERE entity_id = 3) THEN 'Born' ELSE 'MembershipDelta' END AS transition, 'ComponentMatch' AS cause FROM layers WHERE entity_id = 3 AND batch <= 5 GROUP BY entity_id")
 _run("coheres_named", "CoheresNamed", {"perspective": "trade"}, ["cohere_id", "strength"], "SELECT cohere_id, strength FROM cohs WHERE perspective = 'trade'")
 _run("coheres_default", "Coheres", {}, ["cohere_id", "strength"], "SELECT cohere_id, strength FROM cohs WHERE perspective = 'default'")
 
@@ -386,40 +482,80 @@ def _(w):
     return entities.boundary(w, 0.25).where("status = 'confirmed'").select("fact_id", "rel_id")
 
 
-@_query("locus_tension")
+TENSION = BOUNDARY + """
+, m AS (SELECT subject AS x, object AS y, CASE WHEN c.u IS NULL THEN 'ghost' ELSE 'confirmed' END AS status FROM f LEFT JOIN c ON c.u = f.u AND c.v = f.v
+        UNION ALL SELECT u, v, 'shadow' FROM e WHERE rel_id NOT IN (SELECT rel_id FROM c)),
+ends AS (SELECT x AS locus_id, status FROM m UNION ALL SELECT y, status FROM m WHERE x <> y)
+SELECT locus_id, count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status = 'ghost') AS ghosts, count(*) FILTER (status = 'shadow') AS shadows,
+       round(count(*) FILTER (status <> 'confirmed') / count(*)::DOUBLE, 9) AS tension FROM ends GROUP BY locus_id"""
+
+
+@_query("locus_tension", TENSION)
 def _(w):
-    return entities.locus_tension(entities.boundary(w, 0.25))
+    return entities.locus_tension(entities.boundary(w, 0.25)).withColumn("tension", F.round("tension", 9))
+
 
+AUTOCORRELATION = """
+, s AS (SELECT entity_id, coherence, lead(coherence) OVER (PARTITION BY entity_id ORDER BY batch) AS later FROM layers)
+SELECT entity_id, round(corr(coherence, later), 6) AS r FROM s WHERE later IS NOT NULL GROUP BY entity_id"""
 
-@_query("coherence_autocorrelation")
+
+@_query("coherence_autocorrelation", AUTOCORRELATION)
 def _(w):
     return emergence.coherence_autocorrelation(w.with_tables(entity_layers=w.entity_layers.withColumn("transition", F.when(F.col("transition") == "Born", "Born").otherwise("CoherenceShift"))), 1).select("entity_id", F.round("r", 6).alias("r"))
 
 
-@_query("batch_energy_regimes")
+REGIMES = """
+, en AS (SELECT batch, sum(abs(a0)) AS energy FROM changes GROUP BY batch),
+w AS (SELECT batch, energy, list(energy) OVER (ORDER BY batch ROWS 7 PRECEDING) AS h FROM en)
+SELECT batch, round(energy, 4) AS energy,
+       CASE WHEN len(h) < 8 THEN 'Initializing' WHEN list_max(h) < 1e-4 THEN 'Quiescent'
+            WHEN list_max(h) > 1e3 OR (h[8] > h[1] AND list_bool_and([h[i + 1] >= h[i] for i in range(1, 8)])) THEN 'Diverging'
+            WHEN list_bool_and([h[i + 1] <= h[i] for i in range(1, 8)]) THEN 'Settling'
+            WHEN list_bool_or([abs(h[i] - h[i + 2]) < 1e-3 AND abs(h[i + 1] - h[i + 3]) < 1e-3 for i in range(1, 6)]) THEN 'LimitCycleSuspect'
+            ELSE 'Oscillating' END AS regime FROM w"""
+
+
+@_query("batch_energy_regimes", REGIMES)
 def _(w):
     return engine.regimes(engine.energy(w)).select("batch", F.round("energy", 4).alias("energy"), "regime")
 
 
-@_query("relationship_list", "SELECT rel_id FROM rel WHERE kind = 3")
+NAMED = """
+, nm AS MATERIALIZED (SELECT locus_id, kind, s0, coalesce(c_name, s_name, 'locus_' || locus_id) AS name FROM loci
+                      LEFT JOIN customer ON kind = 1 AND c_custkey = locus_id LEFT JOIN supplier ON kind = 2 AND s_suppkey = locus_id - 10000000)"""
+
+
+@_query("relationship_list", NAMED + """
+SELECT rel_id, a.name || CASE WHEN directed THEN ' -> ' ELSE ' -- ' END || b.name || ' (kind ' || rel.kind || ')' AS text
+FROM rel JOIN nm a ON a.locus_id = src JOIN nm b ON b.locus_id = dst""")
 def _(w):
-    return relationship_list(w.with_tables(relationships=w.relationships.where("kind = 3"))).select("rel_id")
+    """The activity's three digits are left out: halves are rounded by another rule there."""
+    return relationship_list(w).select("rel_id", F.regexp_replace("text", r", activity -?[0-9.]+\)$", ")").alias("text"))
 
 
-@_query("entities_summary")
+@_query("entities_summary", """
+, g AS (SELECT c_nationkey AS entity_id, list_sort(list(c_name)) AS names FROM customer GROUP BY c_nationkey)
+SELECT ents.entity_id, array_to_string(names[1:3], ', ') || CASE WHEN len(names) > 3 THEN '…' ELSE '' END AS display_name, status, coherence, len(names) AS n_members, array_to_string(names, ', ') AS names
+FROM ents JOIN g ON g.entity_id = ents.entity_id""")
 def _(w):
-    return entities_summary(w)
+    return entities_summary(w).withColumns({"names": F.array_join("names", ", "), "n_members": F.col("n_members").cast("bigint")})
 
 
-@_query("dot_export")
+@_query("dot_export", NAMED + """
+SELECT 0 AS part, 0 AS id, 'digraph world {' AS line UNION ALL SELECT 3, 0, '}'
+UNION ALL SELECT 1, locus_id, '  n' || locus_id || ' [label="' || name || '\\n' || format('{:,.3f}', s0) || '"];' FROM nm
+UNION ALL SELECT 2, rel_id, '  n' || src || ' -> n' || dst || ' [label="", color='
+  || CASE WHEN activity >= 0.8 THEN 'red' WHEN activity >= 0.5 THEN 'orange' WHEN activity >= 0.3 THEN 'gold' WHEN activity >= 0.1 THEN 'steelblue' ELSE 'gray' END
+  || CASE WHEN directed THEN '' ELSE ', dir=none' END || '];' FROM rel""")
 def _(w):
-    return dot_lines(w).select("part", "id", "line")
+    """The arrows' labels are left out: halves are rounded by another rule there."""
+    return dot_lines(w).select("part", "id", F.when(F.col("part") == 2, F.regexp_replace("line", r'label="[^"]*"', 'label=""')).otherwise(F.col("line")).alias("line"))
 
 
-@_query("lineage_scalars", "SELECT rel_id, round(change_count / CAST(greatest(83 - created_batch, 1) AS DOUBLE), 6) AS touch_rate, kind AS dominant_flow_kind, greatest(83 - created_batch, 0) AS age FROM rel WHERE kind IN (3, 4)")
+@_query("lineage_scalars", "SELECT rel_id, round(change_count / CAST(greatest(83 - created_batch, 1) AS DOUBLE), 6) AS touch_rate, kind AS dominant_flow_kind, greatest(83 - created_batch, 0) AS age FROM rel")
 def _(w):
-    rows = w.relationships.where("kind IN (3, 4)")
-    return rows.select("rel_id", F.round(causality.predicate_touch_rate(83), 6).alias("touch_rate"), V.dominant_flow_kind().alias("dominant_flow_kind"), V.age_in_batches("created_batch", 83).alias("age"))
+    return w.relationships.select("rel_id", F.round(causality.predicate_touch_rate(83), 6).alias("touch_rate"), V.dominant_flow_kind().alias("dominant_flow_kind"), V.age_in_batches("created_batch", 83).alias("age"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The world that the driver tables stand for, as SQL both engines read.
 
-Loci are customers, suppliers and parts; relationships are orders (customer to
+Loci are customers, suppliers and parts, and regions, which nothing touches; relationships are orders (customer to
 supplier), supplies (supplier to part), shared returns (supplier and supplier,
 symmetric) and successions of events (user to user); the change log is the event
 stream.  Entities are nations with a yearly history, coheres are regions, facts
@@ -22,6 +22,7 @@ LOCI = """
 SELECT c_custkey AS locus_id, 1 AS kind, c_acctbal AS s0 FROM customer
 UNION ALL SELECT 10000000 + s_suppkey, 2, s_acctbal FROM supplier
 UNION ALL SELECT 20000000 + p_partkey, 3, p_retailprice FROM part
+UNION ALL SELECT 30000000 + r_regionkey, 4, r_regionkey / 10.0 FROM region
 """
 
 _REL_ID = "CAST({kind} AS BIGINT) * 100000000000000000 + CAST(src AS BIGINT) * 100000000 + CAST(dst AS BIGINT)"
@@ -87,21 +88,26 @@ SELECT CASE WHEN r_regionkey % 2 = 0 THEN 'default' ELSE 'trade' END AS perspect
 FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey
 """
 
-#: Declared preferences of every tenth customer for the suppliers of its nation.
+#: Two declared preferences of every customer, for suppliers found by arithmetic in its key.
 FACTS = """
-SELECT CAST(c_custkey AS BIGINT) * 1000000 + s_suppkey AS fact_id, c_custkey AS subject, CASE WHEN s_suppkey % 2 = 0 THEN 'prefers' ELSE 'trades_with' END AS predicate,
-       10000000 + s_suppkey AS object, c_custkey % 13 AS asserted_at, CASE WHEN s_suppkey % 5 = 0 THEN c_custkey % 13 + 4 END AS retracted_at
-FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey % 10 = 0
+SELECT CAST(c_custkey AS BIGINT) * 10 + place AS fact_id, c_custkey AS subject, CASE WHEN place = 0 THEN 'prefers' ELSE 'trades_with' END AS predicate,
+       10000000 + (c_custkey * (7 + 4 * place) + 3) % n AS object, c_custkey % 13 AS asserted_at, CASE WHEN c_custkey % 5 = place THEN c_custkey % 13 + 4 END AS retracted_at
+FROM customer CROSS JOIN (SELECT 0 AS place UNION ALL SELECT 1) places CROSS JOIN (SELECT count(*) AS n FROM supplier) size
+"""
+
+#: A former relationship of every supplier, pruned since.
+PRUNED = """
+SELECT CAST(500000000000000000 AS BIGINT) + s_suppkey AS rel_id, s_nationkey + 30 AS batch FROM supplier
 """
 
 #: DuckDB's WITH clause for all of it.
 ORACLE_WITH = f"""WITH RECURSIVE loci AS ({LOCI}), rel3 AS ({RELATIONSHIPS}), event_changes AS ({EVENT_CHANGES}), succession_changes AS ({SUCCESSION_CHANGES}), rel4 AS ({SUCCESSIONS}),
-rel AS (SELECT rel_id, kind, directed, src, dst, activity, weight, change_count, created_batch, last_batch, CAST(NULL AS BIGINT) AS created_by FROM rel3 UNION ALL SELECT rel_id, kind, directed, src, dst, activity, weight, change_count, created_batch, last_batch, created_by FROM rel4),
+rel AS MATERIALIZED (SELECT rel_id, kind, directed, src, dst, activity, weight, change_count, created_batch, last_batch, CAST(NULL AS BIGINT) AS created_by FROM rel3 UNION ALL SELECT rel_id, kind, directed, src, dst, activity, weight, change_count, created_batch, last_batch, created_by FROM rel4),
 inc AS (SELECT src AS locus, dst AS other, rel_id, kind, directed, activity, weight, TRUE AS outgoing, (NOT directed OR src = dst) AS incoming FROM rel
         UNION ALL SELECT dst, src, rel_id, kind, directed, activity, weight, NOT directed, TRUE FROM rel WHERE src <> dst),
 pred AS (SELECT change_id AS succ, own_pred AS pred FROM event_changes WHERE own_pred IS NOT NULL UNION SELECT change_id, hour_pred FROM event_changes WHERE hour_pred IS NOT NULL UNION SELECT change_id, pred FROM succession_changes),
 changes AS (SELECT change_id, 'Locus' AS subject_type, subject_id, kind, batch, before_value AS b0, after_value AS a0 FROM event_changes UNION ALL SELECT change_id, 'Relationship', subject_id, kind, batch, b0, a0 FROM succession_changes),
-layers AS ({LAYERS}), ents AS ({ENTITIES}), cohs AS ({COHERES}), facts AS ({FACTS})
+pruned AS ({PRUNED}), layers AS ({LAYERS}), ents AS ({ENTITIES}), cohs AS ({COHERES}), facts AS ({FACTS})
 """
 
 
@@ -117,7 +123,7 @@ def project(spark: SparkSession, sf_dir: str) -> World:
             text = _named(text, n)
         return spark.sql(text, **frames)
 
-    loci = sql(LOCI, "customer", "supplier", "part").select(F.col("locus_id").cast("bigint"), F.col("kind").cast("bigint"), F.array("s0").alias("state"))
+    loci = sql(LOCI, "customer", "supplier", "part", "region").select(F.col("locus_id").cast("bigint"), F.col("kind").cast("bigint"), F.array("s0").alias("state"))
     events = sql(EVENT_CHANGES, "events")
     successions = sql(SUCCESSION_CHANGES, event_changes=events)
     rel4 = sql(SUCCESSIONS, succession_changes=successions)
@@ -150,7 +156,7 @@ def project(spark: SparkSession, sf_dir: str) -> World:
     entity_layers = layers.join(first, "entity_id").join(yearly, ["entity_id", "batch"]).select(
         F.col("entity_id").cast("bigint").alias("entity_id"), (F.col("batch") - F.col("__first")).cast("bigint").alias("seq"), F.col("batch").cast("bigint").alias("batch"),
         F.when(F.col("batch") == F.col("__first"), "Born").otherwise("MembershipDelta").alias("transition"), empty.alias("added"), empty.alias("removed"), empty.alias("offspring"), empty.alias("absorbed"),
-        F.lit(None).cast("double").alias("coh_from"), F.lit(None).cast("double").alias("coh_to"), F.lit("Full").alias("compression"), F.col("coherence").cast("double").alias("coherence"), F.col("member_count").cast("bigint").alias("member_count"),
+        F.lit(None).cast("double").alias("coh_from"), F.lit(None).cast("double").alias("coh_to"), F.when(F.col("entity_id") % 4 == 0, "Compressed").otherwise("Full").alias("compression"), F.col("coherence").cast("double").alias("coherence"), F.col("member_count").cast("bigint").alias("member_count"),
         "members", empty.alias("member_rels"), F.struct(F.lit("ComponentMatch").alias("type"), empty.alias("rels"), empty.alias("entities")).alias("cause"),
     )
     entities = sql(ENTITIES, "customer").join(members, "entity_id").select(F.col("entity_id").cast("bigint").alias("entity_id"), "status", "members", empty.alias("member_rels"), F.col("coherence").cast("double").alias("coherence"), empty.alias("parents"), empty.alias("children"))
@@ -161,7 +167,8 @@ def project(spark: SparkSession, sf_dir: str) -> World:
     names = t["customer"].select(F.col("c_name").alias("name"), F.col("c_custkey").cast("bigint").alias("locus_id"), F.lit(False).alias("is_alias")).unionAll(
         t["supplier"].select("s_name", (F.col("s_suppkey") + 10000000).cast("bigint"), F.lit(False))
     )
-    given = dict(loci=loci, relationships=relationships, changes=changes, entities=entities, entity_layers=entity_layers, coheres=coheres, facts=facts, properties=properties, names=names)
+    pruned = sql(PRUNED, "supplier").select("rel_id", F.col("batch").cast("bigint").alias("batch"))
+    given = dict(pruned_log=pruned, loci=loci, relationships=relationships, changes=changes, entities=entities, entity_layers=entity_layers, coheres=coheres, facts=facts, properties=properties, names=names)
     assert set(given) <= set(SCHEMAS)
     return World.of(spark, current_batch=84, **given)
 
