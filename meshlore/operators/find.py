@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_similarity, get_f64, get_str, slot
+from ..functions.vectors import activity as V_activity
 from ..world import World
 from . import topology, traversal
 
@@ -466,20 +467,55 @@ def profile_similarity(world: World, first: tuple[int, int], second: tuple[int,
     return sums.select(F.when((F.coalesce("n", F.lit(0.0)) < 1e-12) | (F.coalesce("m", F.lit(0.0)) < 1e-12), 0.0).otherwise(F.col("d") / (F.col("n") * F.col("m"))).alias("similarity"))
 
 
+def dominant_kind(world: World, a: int, b: int) -> DataFrame:
+    """(kind, activity): the kind of most activity between a pair; ties go to the lower kind."""
+    return relationship_profile(world, a, b).select("kind", "activity").orderBy(F.desc("activity"), "kind").limit(1)
+
+
+def profile_trend_similarity(world: World, first: tuple[int, int], second: tuple[int, int], start: int, end: int) -> DataFrame:
+    """One row ``similarity``: cosine of two pairs' activity changes by kind from a batch to another; 0 for a zero vector."""
+    changes = world.relationship_changes().where(F.col("batch").between(start, end)).select(F.col("subject_id").alias("rel_id"), "change_id", V_activity("after").alias("value"))
+    moved = changes.groupBy("rel_id").agg((F.max_by("value", "change_id") - F.min_by("value", "change_id")).alias("delta"))
+
+    def profile(pair: tuple[int, int], name: str) -> DataFrame:
+        own = find_relationships(world, [RelationshipPredicate.between(*pair)]).select("rel_id", "kind")
+        return own.join(moved, "rel_id", "left").groupBy("kind").agg(F.coalesce(F.sum("delta"), F.lit(0.0)).alias(name))
+
+    both = profile(first, "x").join(profile(second, "y"), "kind", "full")
+    x, y = F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0))
+    sums = both.agg(F.sum(x * y).alias("d"), F.sqrt(F.sum(x * x)).alias("n"), F.sqrt(F.sum(y * y)).alias("m"))
+    return sums.select(F.when((F.coalesce("n", F.lit(0.0)) < 1e-12) | (F.coalesce("m", F.lit(0.0)) < 1e-12), 0.0).otherwise(F.col("d") / (F.col("n") * F.col("m"))).alias("similarity"))
+
+
+def top_entity_members(world: World, n: int) -> DataFrame:
+    """Loci of the ``n`` most coherent active entities, each once."""
+    top = world.entities.where("status = 'Active'").orderBy(F.desc("coherence"), "entity_id").limit(n)
+    return world.loci.join(top.select(F.explode("members").alias("locus_id")).distinct(), "locus_id", "left_semi")
+
+
+#: Loci and edges named by the metrics.
+TOP = 10
+
+
 def world_metrics(world: World) -> DataFrame:
-    """One row of counts, activity and degree statistics, and the number of components."""
+    """One row of counts, activity and degree statistics, components, and the ten loci and edges that stand out most."""
     from .traversal import components
 
     active = F.count_if(F.col("activity") > 0.1)
     a = world.edges.agg(F.count(F.lit(1)).alias("relationships"), active.alias("active_relationships"), F.coalesce(F.sum("activity"), F.lit(0.0)).alias("total_activity"), F.coalesce(F.avg("activity"), F.lit(0.0)).alias("mean_activity"), F.greatest(F.coalesce(F.max("activity"), F.lit(0.0)), F.lit(0.0)).alias("max_activity"))
     d = topology.degrees(world).agg(F.coalesce(F.max("degree"), F.lit(0)).alias("max_degree"), F.coalesce(F.avg("degree"), F.lit(0.0)).alias("mean_degree"))
     n = world.loci.agg(F.count(F.lit(1)).alias("loci"))
-    c = components(world).agg(F.count_distinct("component").alias("components"))
-    e = world.entities.agg(F.count_if(F.col("status") == "Active").alias("active_entities"))
+    c = components(world).groupBy("component").count().agg(F.count(F.lit(1)).alias("components"), F.coalesce(F.max("count"), F.lit(0)).alias("largest_component"))
+    e = world.entities.agg(F.count_if(F.col("status") == "Active").alias("active_entities"), F.count(F.lit(1)).alias("entities"))
+    g = world.changes.agg(F.count(F.lit(1)).alias("changes"), F.lit(world.current_batch).cast("bigint").alias("current_batch"))
     values: dict = {}
-    for part in (a, d, n, c, e):  # one row each
+    for part in (a, d, n, c, e, g):  # one row each
         values |= part.first().asDict()
-    return world.spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'double' if isinstance(v, float) else 'bigint'}" for k, v in values.items()))
+    schema = [f"{k} {'double' if isinstance(v, float) else 'bigint'}" for k, v in values.items()]
+    top = [tuple(r) for r in topology.most_connected_loci(world, TOP).collect()]
+    strong = [tuple(r) for r in world.edges.select("rel_id", "activity").orderBy(F.desc("activity"), "rel_id").limit(TOP).collect()]
+    schema += ["top_loci_by_degree array<struct<locus_id:bigint,degree:bigint>>", "top_relationships_by_activity array<struct<rel_id:bigint,activity:double>>"]
+    return world.spark.createDataFrame([(*values.values(), top, strong)], ", ".join(schema))
 
 
 def incoming_outgoing_activity(world: World) -> DataFrame:

@@ -55,8 +55,9 @@ def test_locus_tension_has_every_locus(spark):
 def test_entities_summary_names_all_members(spark):
     rows = QUERIES["entities_summary"](spark, SF).collect()
     names = {r.c_custkey: r.c_name for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
-    assert sorted(x for r in rows for x in r.names) == sorted(names.values()) and all(len(r.names) == r.n_members for r in rows)
-    assert all(r.display_name == ", ".join(r.names[:3]) + ("…" if r.n_members > 3 else "") for r in rows)
+    own = [(r, r.names.split(", ")) for r in rows]
+    assert sorted(x for _, given in own for x in given) == sorted(names.values()) and all(len(given) == r.n_members for r, given in own)
+    assert all(r.display_name == ", ".join(given[:3]) + ("…" if r.n_members > 3 else "") for r, given in own)
     many = World.from_rows(spark, 1, loci=[(i, 1, [0.0]) for i in range(12)], entities=[(1, "Active", list(range(12)), [], 0.5)])
     assert len(entities_summary(many).first().names) == 12
 
@@ -73,5 +74,5 @@ def test_queries_take_the_whole_world(spark):
     anchor = edges.pop(min(edges))
     cosine = lambda x: sum(a * b for a, b in zip(x, anchor, strict=True)) / (math.hypot(*x) * math.hypot(*anchor) or 1.0)
     got = sorted((r.similarity for r in QUERIES["most_similar_relationships"](spark, SF).collect()), reverse=True)
-    assert got == pytest.approx(sorted((round(cosine(x), 6) for x in edges.values()), reverse=True)[:20], abs=2e-6)
+    assert got == pytest.approx(sorted((round(cosine(x), 6) for x in edges.values()), reverse=True), abs=2e-6)
     assert "betweenness" not in QUERIES  # all sources over all edges: no query, so none over some of the edges
