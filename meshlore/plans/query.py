@@ -91,9 +91,9 @@ VARIANTS: dict[str, tuple[Run, str]] = {
     "AllBetweenness": (lambda w: _scores(centrality.all_betweenness(w)), "all sources"),
     "BetweennessFor": (lambda w, locus: _for(centrality.all_betweenness(w), locus), "all sources"),
     "AllCloseness": (lambda w: _scores(centrality.all_closeness(w)), "all sources"),
-    "ClosenessFor": (lambda w, locus: _for(centrality.all_closeness(w), locus), "all sources"),
-    "AllConstraints": (lambda w: _scores(centrality.all_constraints(w)), "two-hop join"),
-    "ConstraintFor": (lambda w, locus: _for(centrality.all_constraints(w), locus), "two-hop join"),
+    "ClosenessFor": (lambda w, locus: centrality.closeness_for(w, locus), "hops"),
+    "AllConstraints": (lambda w: _scores(centrality.all_constraints(w)), "triangles"),
+    "ConstraintFor": (lambda w, locus: centrality.constraint_for(w, locus), "two-hop join"),
     "Louvain": (lambda w: centrality.louvain(w), "components"),
     "LouvainWithResolution": (lambda w, resolution: centrality.louvain(w, resolution), "components"),
     "Modularity": (lambda w, resolution=1.0: centrality.modularity(w, centrality.louvain(w, resolution)), "components"),

@@ -89,11 +89,9 @@ FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey
 """
 
 #: Two declared preferences of every customer, for suppliers found by arithmetic in its key.
-FACTS = """
-SELECT CAST(c_custkey AS BIGINT) * 10 + place AS fact_id, c_custkey AS subject, CASE WHEN place = 0 THEN 'prefers' ELSE 'trades_with' END AS predicate,
-       10000000 + (c_custkey * (7 + 4 * place) + 3) % n AS object, c_custkey % 13 AS asserted_at, CASE WHEN c_custkey % 5 = place THEN c_custkey % 13 + 4 END AS retracted_at
-FROM customer CROSS JOIN (SELECT 0 AS place UNION ALL SELECT 1) places CROSS JOIN (SELECT count(*) AS n FROM supplier) size
-"""
+_FACT = """SELECT CAST(c_custkey AS BIGINT) * 10 + {place} AS fact_id, c_custkey AS subject, '{predicate}' AS predicate, 10000000 + (c_custkey * {step} + 3) % (SELECT count(*) FROM supplier) AS object,
+       c_custkey % 13 AS asserted_at, CASE WHEN c_custkey % 5 = {place} THEN c_custkey % 13 + 4 END AS retracted_at FROM customer"""
+FACTS = " UNION ALL ".join(_FACT.format(place=place, predicate=predicate, step=step) for place, predicate, step in ((0, "prefers", 7), (1, "trades_with", 11)))
 
 #: A former relationship of every supplier, pruned since.
 PRUNED = """

@@ -154,6 +154,14 @@ def test_constraint_and_size_with_loops(spark):
     assert {r.locus_id: r.score for r in centrality.effective_network_size(world).collect()} == pytest.approx(size)
 
 
+def test_scores_of_one_locus(spark):
+    world, _ = some_world(spark)
+    for every, one in ((centrality.all_closeness, centrality.closeness_for), (centrality.all_constraints, centrality.constraint_for)):
+        want = {r.locus_id: r.score for r in every(world).collect()}
+        for locus in (3, 11, 777):
+            assert {r.locus_id: r.score for r in one(world, locus).collect()} == pytest.approx({locus: want[locus]} if locus in want else {})
+
+
 def test_all_source_searches_by_joins(spark, monkeypatch):
     world, _ = some_world(spark, 12, 16, False)
     want = [{r.locus_id: r.score for r in f(world).collect()} for f in (centrality.all_closeness, centrality.all_betweenness)]
