@@ -360,7 +360,7 @@ def regimes(energies: DataFrame, window: int = 8) -> DataFrame:
     rows = energies.withColumn("h", F.collect_list("energy").over(last))
     steps = F.arrays_zip(F.slice("h", 1, F.greatest(F.size("h") - 1, F.lit(0))).alias("x"), F.slice("h", 2, F.size("h")).alias("y"))
     up, down = F.forall(steps, lambda p: p["y"] >= p["x"]), F.forall(steps, lambda p: p["y"] <= p["x"])
-    at = lambda i: F.element_at("h", i.cast("int"))
+    at = lambda i: F.try_element_at("h", i.cast("int"))
     repeats = F.exists(F.sequence(F.lit(1), F.greatest(F.size("h") - 3, F.lit(1))), lambda i: (F.abs(at(i) - at(i + 2)) < 1e-3) & (F.abs(at(i + 1) - at(i + 3)) < 1e-3))
     regime = (
         F.when(F.size("h") < window, "Initializing").when(F.array_max("h") < 1e-4, "Quiescent")
