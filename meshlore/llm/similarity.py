@@ -39,7 +39,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 from .blocks import blocks, mix64, sequence_digests, shingles, words
