@@ -266,7 +266,7 @@ TRANSITIVE = """
 , st AS MATERIALIZED (SELECT locus AS a, other AS b, max(activity) AS x FROM inc WHERE kind = 4 AND outgoing AND locus <> other GROUP BY 1, 2),
 p AS (SELECT CAST(8 AS BIGINT) AS node, [CAST(8 AS BIGINT)] AS path, 1.0::DOUBLE AS x
       UNION ALL SELECT b, list_append(path, b), p.x * st.x FROM p JOIN st ON a = node WHERE len(path) < 4 AND node <> 46)
-SELECT round(x, 9) AS activity FROM (SELECT * FROM p WHERE node = 46 ORDER BY len(path), path LIMIT 1)"""
+SELECT round((SELECT x FROM p WHERE node = 46 ORDER BY len(path), path LIMIT 1), 9) AS activity"""
 
 
 @_query("infer_transitive", TRANSITIVE)
