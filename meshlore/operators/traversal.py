@@ -116,11 +116,11 @@ def reachable_matching(world: World, start: int, depth: int, predicate: Column)
 
 
 def shortest_path(world: World, source: int, target: int, direction: str = "both", kind: int | None = None, min_activity: float | None = None) -> DataFrame:
-    """One row (path, hops) with a shortest path, or none; of equal paths the least in order.
+    """One row (path, hops) with a shortest path, or none; of equal paths the one whose text is least.
 
     ``source = target`` gives [source] whether it exists or not.  Distances to the
-    target are found backwards; the path then steps to the least neighbour that is
-    one nearer, so no join carries paths.
+    target are found backwards; the path then steps to the neighbour one nearer
+    whose id is least as text (10 before 9), so no join carries paths.
     """
     spark = world.spark
     if source == target:
@@ -133,7 +133,7 @@ def shortest_path(world: World, source: int, target: int, direction: str = "both
     path, hops = [source], found["depth"]
     for left in range(hops - 1, -1, -1):
         near = steps.where(F.col("a") == path[-1]).select(F.col("b").alias("node"))
-        path.append(near.join(distance.where(F.col("depth") == left), "node").agg(F.min("node").alias("n")).first()["n"])
+        path.append(near.join(distance.where(F.col("depth") == left), "node").agg(F.min_by("node", F.col("node").cast("string")).alias("n")).first()["n"])
     return spark.createDataFrame([(path, hops)], "path array<bigint>, hops int")
 
 

@@ -270,3 +270,11 @@ def test_empty_world(spark):
         if variant not in ("TimeTravel",):
             execute(world, Query(variant, args)).count()
     assert find.world_metrics(world).first()["components"] == 0 and F is not None
+
+
+@pytest.mark.parametrize(("variant", "more"), [("DirectedPath", {}), ("PathBetween", {}), ("PathBetweenActive", {"min_activity": 0.3})])
+def test_equal_paths_by_their_text(spark, variant, more):
+    """As their SQL, which orders paths joined with hyphens: 5-10-3 comes before 5-9-3, and 5-10-3 before 5-100-3."""
+    ends = [(5, 9), (9, 3), (5, 100), (100, 3), (5, 10), (10, 3)]
+    world = World.from_rows(spark, 1, loci=[(i, 1, [0.0]) for i in (3, 5, 9, 10, 100)], relationships=[edge(i, 1, a, b) for i, (a, b) in enumerate(ends)])
+    assert execute(world, Query(variant, {"source": 5, "target": 3, **more})).first()["path"] == [5, 10, 3]
