@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same as Parquet, whose columns are packed: for what is large, or made anew every round (see ``forget``)."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/meshlore-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a ``stored`` table that nothing reads any more, and let go of the shuffles that nothing refers to."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    path = jvm.org.apache.hadoop.fs.Path(df._stored)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A durable copy of ``df``, marked for broadcast only if it has few rows and few bytes; otherwise the join shuffles."""
     kept = durable(df)

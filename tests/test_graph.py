@@ -285,3 +285,25 @@ def test_trend_at_the_threshold_is_stable(spark):
     log = [(i, "Relationship", r, 1, [], [], [v], i) for i, (r, v) in enumerate([(1, 29.27), (1, 29.32), (2, 29.32), (2, 29.27), (3, 29.27), (3, 29.33), (4, 1.0)])]
     got = {r.rel_id: r.trend for r in causality.trends(World.from_rows(spark, 9, changes=log), 0, 9).collect()}
     assert got == {1: "Stable", 2: "Stable", 3: "Rising", 4: "Insufficient"}
+
+
+@pytest.mark.parametrize("tiled", [True, False])
+def test_shares_by_tiles_and_by_triangles(spark, tiled, monkeypatch):
+    """Constraint and effective size against their definition, with loops, negative totals and more loci than a tile has."""
+    monkeypatch.setattr(centrality, "TILE", 4)
+    monkeypatch.setattr(centrality, "_many_wedges", lambda p: tiled)
+    draw = random.Random(5)
+    ends = sorted({tuple(sorted((draw.randrange(18) * 7, draw.randrange(18) * 7))) for _ in range(90)})
+    rels = [edge(i, 3, a, b, draw.choice([0.25, 0.5, -0.75]), 0.125, False) for i, (a, b) in enumerate(ends)]
+    near: dict = {}
+    for _, _, _, a, b, (x, y), *_ in rels:
+        for u, v in {(a, b), (b, a)}:
+            near.setdefault(u, {}).setdefault(v, 0.0)
+            near[u][v] += x + y
+    total = {i: sum(row.values()) for i, row in near.items()}
+    assert any(i in row for i, row in near.items()) and any(t < 0 for t in total.values()) and len(near) > 8
+    p = {i: {j: s / total[i] for j, s in row.items()} for i, row in near.items() if total[i]}
+    via = lambda i, j: sum(x * p[q].get(j, 0.0) for q, x in p[i].items() if q != j and total[q] > 0)
+    world = World.from_rows(spark, 1, loci=[(i, 1, [0.0]) for i in near], relationships=rels)
+    assert {r.locus_id: r.score for r in centrality.all_constraints(world).collect()} == pytest.approx({i: sum((x + via(i, j)) ** 2 for j, x in row.items()) for i, row in p.items()})
+    assert {r.locus_id: r.score for r in centrality.effective_network_size(world).collect()} == pytest.approx({i: len(row) - sum(via(i, j) for j in row if j != i) for i, row in p.items()})
