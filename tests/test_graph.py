@@ -316,3 +316,23 @@ def test_all_similar_relationships_without_a_top_k(spark, world, monkeypatch):
     monkeypatch.setattr(find, "BROADCAST_ROWS", 2)
     many = find.most_similar_relationships(world, 8, 3)
     assert "TakeOrdered" not in plan(many) and [tuple(r) for r in many.collect()] == [tuple(r) for r in few.collect()]
+
+
+def test_closure_in_blocks(spark, monkeypatch):
+    """Against plain search: steps in any order, and a chain whose hops are many more than the rounds."""
+    monkeypatch.setattr(traversal, "LOCAL_STEPS", 40)
+    rounds, search = [], traversal._local_search
+    monkeypatch.setattr(traversal, "_local_search", lambda *args: rounds.append(1) or search(*args))
+    draw = random.Random(3)
+    chain = [(i, i + 1) for i in range(100, 300)]
+    for steps, starts in ((chain, [150]), ([(draw.randrange(90), draw.randrange(90)) for _ in range(110)], [7, 200])):
+        want, todo = set(starts), list(starts)
+        while todo:
+            a = todo.pop()
+            for b in {y for x, y in steps if x == a} - want:
+                want.add(b)
+                todo.append(b)
+        rounds.clear()
+        got = traversal.closure(spark.createDataFrame(steps, "a bigint, b bigint"), spark.createDataFrame([(s,) for s in starts], "node bigint"))
+        assert sorted(r.node for r in got.collect()) == sorted(want) and rounds
+        assert steps is not chain or len(rounds) < 12
