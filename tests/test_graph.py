@@ -336,3 +336,14 @@ def test_closure_in_blocks(spark, monkeypatch):
         got = traversal.closure(spark.createDataFrame(steps, "a bigint, b bigint"), spark.createDataFrame([(s,) for s in starts], "node bigint"))
         assert sorted(r.node for r in got.collect()) == sorted(want) and rounds
         assert steps is not chain or len(rounds) < 12
+
+
+def test_rounds_of_components_leave_one_table(spark, monkeypatch):
+    """What a round made is deleted once the next has been written, so disk doesn't grow with the rounds."""
+    kept, forgotten, stored, forget = [], [], traversal.stored, traversal.forget
+    monkeypatch.setattr(traversal, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    monkeypatch.setattr(traversal, "forget", lambda df: forgotten.append(df._stored) or forget(df))
+    world = World.from_rows(spark, 1, loci=[(i, 1, [0.0]) for i in range(40)], relationships=[edge(i, 1, i, i + 1) for i in range(30)])
+    got = {r.locus_id: r.component for r in traversal.components(world).collect()}
+    assert got == {i: 0 if i < 31 else i for i in range(40)}
+    assert len(kept) > 2 and {df._stored for df in kept} - set(forgotten) == {kept[-1]._stored}
