@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from meshlore import durable
 from meshlore.functions import vectors as V
 from meshlore.operators import causality, centrality, emergence, entities, equivalence, find, topology, traversal
 from meshlore.operators.find import EntityPredicate, LocusPredicate, RelationshipPredicate
@@ -407,3 +408,21 @@ def test_louvain_moves_as_one_by_one(spark, monkeypatch, tmp_path):
             arcs = centrality.arcs_on_disk(([np.array(x) for x in zip(*edges[k : k + 9], strict=True)] for k in range(0, len(edges), 9)), ids, n, str(tmp_path), rows=30)
             group = centrality.settled(*arcs, resolution)
             assert len(set(zip(group, want.values(), strict=True))) == len(set(want.values())) == len(set(group))
+
+
+def test_stored_leaves_no_shuffles(spark):
+    """What a write shuffled is deleted with its end, not when the driver happens to collect garbage; later queries keep theirs."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllBlocks()
+        names = (str(found.apply(i)) for i in range(found.size()))
+        return {x for x in names if x.startswith("shuffle_")}
+
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before = files()
+    kept = durable.stored(df)
+    assert not files() - before and spark.conf.get(durable.CLEANUP, "false") == "false"
+    assert sorted(r["count"] for r in kept.collect()) == [142] + [143] * 6
+    df.collect()
+    assert files() - before
