@@ -9,6 +9,7 @@ was counted small is searched by one task instead.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -107,36 +108,44 @@ def _local_search(steps: DataFrame, starts: DataFrame, depth: int | None) -> Dat
 def closure(steps: DataFrame, starts: DataFrame) -> DataFrame:
     """(node): the starts and all that (a, b) ``steps`` reach from them, without depths.
 
-    More steps than one task takes are dealt into blocks by ranges of ``a``.  A round
-    searches every block that has nodes still to go on from, however many hops deep,
-    and hands on what lies in other blocks; where ids grow or fall along the steps, as
-    in the log, a path passes each block once, so there are at most as many rounds as blocks.
+    More steps than one task takes are dealt into blocks by ranges of ``a``.  Blocks are
+    searched one after another, each however many hops deep and from all that the ones
+    before reached in it; a block is searched again only if a later one leads back into it.
+    Where ids grow or fall along the steps, as in the log, every block is searched once.
     """
     starts = starts.select("node").distinct()
     steps = stored(steps.select("a", "b"))
-    total = steps.count()
+    total, up, down, least, most = steps.agg(F.count(F.lit(1)), F.count_if(F.col("b") >= F.col("a")), F.count_if(F.col("b") <= F.col("a")), F.min("a"), F.max("a")).first()
     if total <= LOCAL_STEPS:
         return _local_search(steps, starts, None).select("node")
     n = -(-total // LOCAL_STEPS)
     bounds = sorted(set(steps.approxQuantile("a", [k / n for k in range(1, n)], 0.1 / n)))
     block = lambda c: sum((F.when(F.col(c) >= int(x), 1).otherwise(0) for x in bounds), F.lit(0)).cast("int")
-    dealt = [stored(steps.where(block("a") == k)) for k in range(len(bounds) + 1)]
+    # Nothing goes on from beyond the last step: such a node is in block -1.
+    placed = lambda df: df.withColumn("block", F.when(F.col("node").between(least, most), block("node")).otherwise(-1))
+    dealt = stored(steps.withColumn("block", block("a")), "block")
     forget(steps)
-    seen = stored(starts)
-    fresh = stored(starts.withColumn("block", block("node")))
-    while pending := [r[0] for r in fresh.select("block").distinct().collect()]:
-        found = None
-        for k in pending:
-            own = _local_search(dealt[k], fresh.where(F.col("block") == k), None).select("node", F.lit(k).alias("by"))
-            found = own if found is None else found.unionAll(own)
-        # A block has gone on from its own nodes already.
-        new = found.withColumn("block", block("node")).groupBy("node", "block").agg(F.max(F.col("by") == F.col("block")).alias("done"))
-        new = stored(new.join(seen, "node", "left_anti"))
-        last, seen, before = seen, stored(seen.unionAll(new.select("node"))), fresh
-        fresh = stored(new.where("NOT done").select("node", "block"))
-        for df in (last, before, new):
-            forget(df)
-    return seen
+    found, looked = [(-1, stored(placed(starts), "block"))], {}
+    order = range(len(bounds) + 1) if up >= down else range(len(bounds), -1, -1)
+    again = True
+    while again:
+        again = False
+        for k in order:
+            inside = [(by, t.where(F.col("block") == k).select("node")) for by, t in found]
+            offered = [t for by, t in inside[looked.get(k, 0) :] if by != k]
+            looked[k] = len(found)
+            if not offered:
+                continue
+            seeds = reduce(DataFrame.unionAll, offered)
+            if own := [t for by, t in inside if by == k]:  # it has gone on from these already
+                seeds = seeds.join(reduce(DataFrame.unionAll, own), "node", "left_anti")
+            if seeds.isEmpty():
+                continue
+            reached = _local_search(dealt.where(F.col("block") == k).select("a", "b"), seeds, None).select("node")
+            found.append((k, stored(placed(reached), "block")))
+            again = up < total and down < total
+    forget(dealt)
+    return reduce(DataFrame.unionAll, [t.select("node") for _, t in found]).distinct()
 
 
 def reachable(world: World, start: int, depth: int, direction: str = "both", kind: int | None = None, min_activity: float | None = None) -> DataFrame:

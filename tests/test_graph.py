@@ -339,6 +339,26 @@ def test_closure_in_blocks(spark, monkeypatch):
         assert steps is not chain or len(rounds) < 12
 
 
+def test_closure_searches_a_block_of_a_log_once(spark, monkeypatch):
+    """A block is searched after all that lead into it; ends that nothing goes on from are handed to none."""
+    monkeypatch.setattr(traversal, "LOCAL_STEPS", 40)
+    seeds, search = [], traversal._local_search
+    monkeypatch.setattr(traversal, "_local_search", lambda steps, starts, depth: seeds.append(starts.distinct().count()) or search(steps, starts, depth))
+    log = [(i, j) for i in range(100, 300) for j in (i + 1, i + 50, i + 1000)]
+    start = spark.createDataFrame([(110,)], "node bigint")
+    for steps, first in ((log, 110), ([(-a, -b) for a, b in log], -110)):
+        want, todo = {first}, [first]
+        while todo:
+            a = todo.pop()
+            for b in {y for x, y in steps if x == a} - want:
+                want.add(b)
+                todo.append(b)
+        seeds.clear()
+        got = traversal.closure(spark.createDataFrame(steps, "a bigint, b bigint"), start if first > 0 else start.selectExpr("-node AS node"))
+        assert sorted(r.node for r in got.collect()) == sorted(want)
+        assert 10 < len(seeds) <= 15 and sum(seeds) < len(want) - 190
+
+
 def test_rounds_of_components_leave_one_table(spark, monkeypatch):
     """What a round made is deleted once the next has been written, so disk doesn't grow with the rounds."""
     kept, forgotten, stored, forget = [], [], traversal.stored, traversal.forget
