@@ -179,7 +179,7 @@ ORACLE_SQL["modularity_by_nation"] = ORACLE_WITH + ", part AS (SELECT 10000000 +
 
 @_query("world_metrics_counts", "SELECT (SELECT count(*) FROM rel) AS relationships, (SELECT count(*) FROM rel WHERE activity > 0.1) AS active_relationships, (SELECT round(sum(activity), 4) FROM rel) AS total_activity, (SELECT round(max(activity), 6) FROM rel) AS max_activity, (SELECT max(d) FROM (SELECT count(*) AS d FROM inc GROUP BY locus)) AS max_degree, (SELECT count(*) FROM loci) AS loci, (SELECT count(*) FROM ents WHERE status = 'Active') AS active_entities")
 def _(w):
-    m = find.world_metrics(w)
+    m = find.world_metrics(w, ["relationships", "active_relationships", "total_activity", "max_activity", "max_degree", "loci", "active_entities"])
     return m.select("relationships", "active_relationships", F.round("total_activity", 4).alias("total_activity"), F.round("max_activity", 6).alias("max_activity"), "max_degree", "loci", "active_entities")
 
 

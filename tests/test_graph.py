@@ -186,6 +186,22 @@ def test_find(world):
     assert (m["relationships"], m["loci"], m["components"], m["active_entities"]) == (11, 11, 4, 1)
 
 
+def test_metrics_make_no_more_than_was_asked_for(world, monkeypatch):
+    """Some columns are those of the whole row, without components and without edges written out."""
+    whole = find.world_metrics(world).first().asDict()
+    degree = {r.locus_id: r.degree for r in topology.degrees(world).collect()}
+    activity = [r.activity for r in world.edges.collect()]
+    assert whole["max_degree"] == max(degree.values()) and whole["mean_degree"] == pytest.approx(sum(degree.values()) / len(degree))
+    assert (whole["total_activity"], whole["max_activity"], whole["mean_activity"]) == pytest.approx((sum(activity), max(activity), sum(activity) / len(activity)))
+    assert [tuple(r) for r in whole["top_loci_by_degree"]] == sorted(degree.items(), key=lambda x: (-x[1], x[0]))[:10]
+    kept, stored = [], find.stored
+    monkeypatch.setattr(traversal, "components", None)
+    monkeypatch.setattr(find, "stored", lambda df: kept.append(df.columns) or stored(df))
+    some = ["max_degree", "relationships", "total_activity", "changes"]
+    assert find.world_metrics(world, some).first().asDict() == pytest.approx({k: whole[k] for k in some})
+    assert not any("rel_id" in columns for columns in kept)
+
+
 def test_entities_and_boundary(world):
     assert {(r.entity_id, r.batch) for r in entities.layers_at(world, 2).collect()} == {(1, 0), (2, 1)}
     d = entities.entity_deviations_since(world, 1).first()
