@@ -375,6 +375,18 @@ def test_closure_searches_a_block_of_a_log_once(spark, monkeypatch):
         assert 10 < len(seeds) <= 15 and sum(seeds) < len(want) - 190
 
 
+def test_absent_relationships_in_blocks_of_the_log(spark, world, monkeypatch):
+    """The same edges are absent, and each block is searched once at most, when the log is more than a task takes."""
+    query = lambda: causality.CounterfactualQuery(world).with_stimuli([r.change_id for r in world.changes.where(F.size("predecessors") == 0).collect()])
+    absent, caused = query().relationships_absent_without().collect(), query().relationships_caused().collect()
+    searches, search = [], traversal._local_search
+    monkeypatch.setattr(traversal, "_local_search", lambda *args: searches.append(1) or search(*args))
+    monkeypatch.setattr(traversal, "LOCAL_STEPS", 1)
+    assert sorted(query().relationships_absent_without().collect()) == sorted(absent) and absent
+    assert 1 < len(searches) <= world.change_edges.select("pred").distinct().count()
+    assert sorted(query().relationships_caused().collect()) == sorted(caused)
+
+
 def test_rounds_of_components_leave_one_table(spark, monkeypatch):
     """What a round made is deleted once the next has been written, so disk doesn't grow with the rounds."""
     kept, forgotten, stored, forget = [], [], traversal.stored, traversal.forget
